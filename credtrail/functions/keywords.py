@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from credtrail.functions.files import any_of
+from credtrail.functions.text import java_quote
 from credtrail.rules import Rules
 
 
@@ -28,10 +29,16 @@ def smallest_cover(words: list[str]) -> list[str]:
     return [w for w in unique if not any(o != w and o in w for o in unique)]
 
 
+def holds_any(text: Column, words: list[str]) -> Column:
+    """One regex for all words keeps the generated code small."""
+    if not words:
+        return F.lit(False)
+    return text.rlike("|".join(java_quote(w) for w in smallest_cover(words)))
+
+
 def has_any_keyword(line: Column, rules: Rules) -> Column:
-    words = smallest_cover([_needle(kw, rules) for _, _, kw in rules.keywords])
-    folded = _folded(line, rules)
-    return any_of(folded.contains(w) for w in words)
+    words = [_needle(kw, rules) for _, _, kw in rules.keywords]
+    return holds_any(_folded(line, rules), words)
 
 
 def may_match(line: Column, rules: Rules) -> Column:
@@ -42,45 +49,15 @@ def may_match(line: Column, rules: Rules) -> Column:
     return any_of(line.contains(n) for n in dict.fromkeys(needs))
 
 
-def keyword_hits(line: Column, rules: Rules) -> Column:
-    """How many keywords the line holds; a keyword listed twice counts twice."""
-    folded = _folded(line, rules)
-    total = F.lit(0)
-    for word, times in _weights(rules).items():
-        total = total + F.when(folded.contains(word), times).otherwise(0)
-    return total
-
-
-def first_keyword(line: Column, rules: Rules) -> Column:
-    """Lowest ``kw_idx`` in the line, null if there is none."""
+def keyword_indexes(line: Column, rules: Rules) -> Column:
+    """``kw_idx`` of all keywords in the line, ascending. A keyword listed twice
+    is there twice; the first element is the lowest, the size the count."""
+    words = F.array(*[F.lit(_needle(kw, rules)) for _, _, kw in rules.keywords])
+    places = F.sequence(F.lit(0), F.lit(len(rules.keywords) - 1))
     folded = _folded(line, rules)
-    tests = [
-        F.when(folded.contains(_needle(kw, rules)), F.lit(i)) for i, _, kw in rules.keywords
-    ]
-    return F.coalesce(*tests) if tests else F.lit(None).cast("int")
-
-
-def keyword_array(line: Column, rules: Rules) -> Column:
-    """All ``(kw_idx, keyword)`` the line holds."""
-    folded = _folded(line, rules)
-    tests = [
-        F.when(
-            folded.contains(_needle(kw, rules)),
-            F.struct(F.lit(i).alias("kw_idx"), F.lit(kw).alias("keyword")),
-        )
-        for i, _, kw in rules.keywords
-    ]
-    return F.array_compact(F.array(*tests))
+    return F.filter(places, lambda i: F.contains(folded, words[i]))
 
 
 def keyword_name(kw_idx: Column, rules: Rules) -> Column:
     names = F.array(*[F.lit(kw) for _, _, kw in rules.keywords])
     return F.try_element_at(names, kw_idx + 1)
-
-
-def _weights(rules: Rules) -> dict[str, int]:
-    weights: dict[str, int] = {}
-    for _, _, kw in rules.keywords:
-        word = _needle(kw, rules)
-        weights[word] = weights.get(word, 0) + 1
-    return weights

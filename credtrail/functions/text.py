@@ -88,11 +88,10 @@ def csv_escape(text: Column) -> Column:
     return F.when(flat.contains(",") | flat.contains('"'), quoted).otherwise(flat)
 
 
-def count_literal(text: Column, literal: str) -> Column:
+def count_literal(text: Column, literal: Column) -> Column:
     """Number of non-overlapping occurrences of a literal."""
-    without = F.replace(text, F.lit(literal), F.lit(""))
-    gone = F.length(text) - F.length(without)
-    return (gone / F.lit(len(literal))).cast("int")
+    gone = F.length(text) - F.length(F.replace(text, literal, F.lit("")))
+    return (gone / F.length(literal)).cast("int")
 
 
 def bar_width(count: Column, total: Column, scale: int = 50, limit: int | None = 30) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from credtrail.functions.files import any_of
+from credtrail.functions.keywords import holds_any, smallest_cover
+from credtrail.functions.text import java_quote
 from credtrail.rules import Rules
 
 # Starts of a code fragment.
@@ -17,8 +18,19 @@ URL_STARTS = ("http://", "https://", "ftp://", "ssh://", "file://", "mailto:")
 # Words that are no secret by themselves.
 COMMON_WORDS = ("password", "secret", "token", "key", "credential", "auth", "pass", "pwd")
 
-# identifier.Field, with one dot only
-FIELD_ACCESS = r"^[A-Za-z0-9_]+[.][A-Z][^.]*\z"
+# Braces at the ends, a code word at the start, identifier.Field with one dot
+# only, or more than two dots.
+CODE = "|".join(
+    (
+        r"^\{",
+        r"\}\z",
+        "^(?:" + "|".join(java_quote(w) for w in CODE_STARTS) + ")",
+        r"^[A-Za-z0-9_]+[.][A-Z][^.]*\z",
+        r"[.][^.]*[.][^.]*[.]",
+    )
+)
+URL = "^(?:" + "|".join(java_quote(w) for w in URL_STARTS) + ")"
+COMMON = "^(?:" + "|".join(COMMON_WORDS) + r")\z"
 
 
 def value_length(value: Column, rules: Rules) -> Column:
@@ -30,35 +42,31 @@ def bad_length(value: Column, rules: Rules) -> Column:
 
 
 def looks_like_code(value: Column) -> Column:
-    dots = F.length(value) - F.length(F.replace(value, F.lit("."), F.lit("")))
     return (
         (value.contains("(") & value.contains(")"))
         | (value.contains("[") & value.contains("]"))
-        | value.startswith("{")
-        | value.endswith("}")
-        | (dots > 2)
-        | value.rlike(FIELD_ACCESS)
-        | any_of(value.startswith(w) for w in CODE_STARTS)
+        | value.rlike(CODE)
     )
 
 
 def is_url(value: Column) -> Column:
-    low = F.lower(value)
-    return any_of(low.startswith(p) for p in URL_STARTS)
+    return F.lower(value).rlike(URL)
 
 
 def is_common_word(value: Column) -> Column:
-    return F.lower(value).isin(*COMMON_WORDS)
+    return F.lower(value).rlike(COMMON)
 
 
-def has_ignored_text(value: Column, rules: Rules) -> Column:
+def ignored_texts(rules: Rules) -> list[str]:
     """The value is folded in every case, the listed text only if case does not
     matter: with ``case_sensitive`` an entry in upper case never applies."""
-    low = F.lower(value)
-    entries = rules.ignored_values
-    if not rules.case_sensitive:
-        entries = tuple(e.lower() for e in entries)
-    return any_of(low.contains(e) for e in dict.fromkeys(entries))
+    if rules.case_sensitive:
+        return list(rules.ignored_values)
+    return [t.lower() for t in rules.ignored_values]
+
+
+def has_ignored_text(value: Column, rules: Rules) -> Column:
+    return holds_any(F.lower(value), ignored_texts(rules))
 
 
 def reject_tests(value: Column, rules: Rules) -> list[tuple[str, Column]]:
@@ -72,7 +80,10 @@ def reject_tests(value: Column, rules: Rules) -> list[tuple[str, Column]]:
 
 
 def is_ignored_value(value: Column, rules: Rules) -> Column:
-    return any_of(test for _, test in reject_tests(value, rules))
+    """Any of the tests; those on the folded value share one regex."""
+    texts = [java_quote(t) for t in smallest_cover(ignored_texts(rules))]
+    folded = F.lower(value).rlike("|".join([URL, COMMON, *texts]))
+    return bad_length(value, rules) | looks_like_code(value) | folded
 
 
 def reject_reason(value: Column, rules: Rules) -> Column:

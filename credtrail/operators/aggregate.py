@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from credtrail.functions.keywords import keyword_name
 from credtrail.functions.text import fingerprint, mask
-from credtrail.functions.values import is_usable_value
+from credtrail.functions.values import is_usable_value, reject_reason
 from credtrail.operators.dedup import secret_authors
 from credtrail.operators.scan import CURRENT, secret_keys
 from credtrail.rules import Rules, keyword_table
@@ -172,12 +172,10 @@ def gate(found: DataFrame) -> DataFrame:
     return found.agg((F.count("*") > 0).alias("found"), F.count("*").alias("n"))
 
 
-def reject_breakdown(extractions: DataFrame, rules: Rules) -> DataFrame:
+def reject_breakdown(extractions: DataFrame, rules: Rules, *by: str) -> DataFrame:
     """How many extractions each value test drops; ``kept`` for the rest."""
-    from credtrail.functions.values import reject_reason
-
     reason = F.coalesce(reject_reason(F.col("value"), rules), F.lit("kept"))
-    return extractions.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return extractions.groupBy(*by, reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 def keyword_counts(hits: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credtrail.functions.files import any_of, has_excluded_extension
-from credtrail.functions.keywords import smallest_cover
+from credtrail.functions.files import has_excluded_extension
+from credtrail.functions.keywords import holds_any
 from credtrail.functions.text import count_literal
 from credtrail.operators.scan import by_keyword
 from credtrail.rules import Rules
@@ -20,36 +20,20 @@ from credtrail.rules import Rules
 def keyword_deltas(lines: DataFrame, rules: Rules) -> DataFrame:
     """``(commit, file, keyword, touched, delta)`` for keywords in the patch.
 
-    One pass with one sum per keyword: the shuffle carries one partial row per
-    commit and file, not one per line and keyword.
+    The sums combine before the shuffle, which carries one row per commit, file
+    and keyword at most.
     """
     keys = [*(c for c in ("repo",) if c in lines.columns), "commit", "file"]
     words = list(dict.fromkeys(kw for _, _, kw in rules.keywords))
     line = F.col("line")
-    kept = lines.where(~has_excluded_extension(F.col("file"), rules)).where(
-        any_of(line.contains(w) for w in smallest_cover(words))
-    )
+    kept = lines.where(~has_excluded_extension(F.col("file"), rules))
+    kept = kept.where(holds_any(line, words))
+    listed = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(line, w))
+    rows = kept.select(*keys, "sign", "line", F.explode(listed).alias("keyword"))
+    n = count_literal(line, F.col("keyword"))
     sign = F.when(F.col("sign") == "+", 1).otherwise(-1)
-    counts = [count_literal(line, w) for w in words]
-    sums = []
-    for i, n in enumerate(counts):
-        sums.append(F.sum(n).alias(f"n{i}"))
-        sums.append(F.sum(n * sign).alias(f"d{i}"))
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(w).alias("keyword"),
-                F.col(f"n{i}").alias("touched"),
-                F.col(f"d{i}").alias("delta"),
-            )
-            for i, w in enumerate(words)
-        ]
-    )
-    return (
-        kept.groupBy(*keys)
-        .agg(*sums)
-        .select(*keys, F.inline(rows))
-        .where(F.col("touched") > 0)
+    return rows.groupBy(*keys, "keyword").agg(
+        F.sum(n).alias("touched"), F.sum(n * sign).alias("delta")
     )
 
 

@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from credtrail.functions.extract import extracted
 from credtrail.functions.files import MAX_FILE_BYTES, is_scanned_file
 from credtrail.functions.keywords import (
-    first_keyword,
     has_any_keyword,
-    keyword_array,
-    keyword_hits,
+    keyword_indexes,
+    keyword_name,
     may_match,
 )
 from credtrail.functions.values import is_ignored_value
@@ -86,11 +85,9 @@ def findings(lines: DataFrame, rules: Rules | None = None) -> DataFrame:
     rules = rules or default_rules()
     line = F.col("line")
     kept = lines.where(may_match(line, rules)).where(has_any_keyword(line, rules))
-    return judged(extract(kept, rules), rules).select(
-        "*",
-        keyword_hits(line, rules).alias("hits"),
-        first_keyword(line, rules).alias("kw_first"),
-    )
+    found = judged(extract(kept, rules), rules)
+    found = found.withColumn("_kws", keyword_indexes(line, rules))
+    return found.withColumns({"hits": F.size("_kws"), "kw_first": F.col("_kws")[0]}).drop("_kws")
 
 
 def scan_history(
@@ -121,5 +118,5 @@ def scan_current(
 
 def by_keyword(found: DataFrame, rules: Rules) -> DataFrame:
     """One row per finding and keyword in its line."""
-    hit = F.explode(keyword_array(F.col("line"), rules)).alias("_hit")
-    return found.select("*", hit).select("*", "_hit.*").drop("_hit")
+    rows = found.select("*", F.explode(keyword_indexes(F.col("line"), rules)).alias("kw_idx"))
+    return rows.withColumn("keyword", keyword_name(F.col("kw_idx"), rules))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from credtrail.functions.text import WHITE_SPACE
 from credtrail.queries import COMMIT_LINES
-from credtrail.rules import Rules, alternative_rules, default_rules
+from credtrail.rules import INLINE_ASSIGNMENT, Rules, alternative_rules, default_rules
 
 
 def _s(text: str) -> str:
@@ -106,7 +106,6 @@ def _findings(source: str, rules: Rules) -> str:
 
 
 RULES = default_rules()
-CUT = "CAST(event_id AS VARCHAR)"
 LINES = COMMIT_LINES.replace("AS STRING", "AS VARCHAR")
 
 BASE = f"""WITH c AS ({LINES}),
@@ -243,6 +242,8 @@ occ AS (SELECT commit, file, keyword, CASE WHEN sign = '+' THEN 1 ELSE -1 END AS
 deltas AS (SELECT commit, file, keyword, sum(n * sg) AS delta FROM occ GROUP BY ALL),
 """
 
+INLINE_RULES = RULES.with_patterns(INLINE_ASSIGNMENT)
+
 ORACLE: dict[str, str] = {
     "extract_kv": _base(
         f"SELECT seq, pattern, key, {SHOWN} FROM ({_kv('c', RULES)})"
@@ -262,7 +263,8 @@ SELECT role, count(*) AS lines,
   count(*) FILTER (EXISTS (SELECT 1 FROM kw WHERE contains(lower(line), keyword))) AS keyword_lines
 FROM l GROUP BY role""",
     "page_scan": "WITH l AS (SELECT unnest(string_split(html, chr(10))) AS line FROM pages) "
-    f"SELECT pattern, count(*) AS n FROM ({_kv('l', RULES)}) GROUP BY pattern",
+    f"SELECT key, {_reason('value', RULES)} AS reason, count(*) AS n "
+    f"FROM ({_kv('l', INLINE_RULES)}) GROUP BY ALL",
     "filter_ignored_files": _base(
         f"SELECT file, count(*) AS n FROM c WHERE {_wanted_file(RULES)} GROUP BY file"
     ),
@@ -309,10 +311,11 @@ FROM l GROUP BY role""",
         f"SELECT file, key, type, commit, author, date, {SHOWN} FROM et", ENTRIES
     ),
     "values_agg": _base(
-        f"""SELECT file, key, {SHOWN}, CAST(sum(hits) AS BIGINT) AS occurrences,
-  count(DISTINCT commit) AS commit_count, count(DISTINCT author) AS author_count,
-  CAST(min(kw_first) AS INT) AS type_idx, min(date) AS first_seen, max(date) AS last_seen
-FROM h GROUP BY file, key, value"""
+        f"""SELECT v.* EXCLUDE (value, k), kw.keyword AS type, {SHOWN} FROM (
+  SELECT file, key, value, CAST(sum(hits) AS BIGINT) AS occurrences,
+    count(DISTINCT commit) AS commit_count, count(DISTINCT author) AS author_count,
+    min(kw_first) AS k, min(date) AS first_seen, max(date) AS last_seen
+  FROM h GROUP BY file, key, value) v JOIN kw ON kw.kw_idx = v.k"""
     ),
     "value_commits": _base(
         f"SELECT file, key, {SHOWN}, commit, author, CAST(sum(hits) AS BIGINT) AS occurrences "

@@ -162,13 +162,11 @@ def conversation_scan(spark, sf_dir):
 
 @query
 def page_scan(spark, sf_dir):
-    """Default patterns over every line of every page, by pattern."""
-    rules = default_rules()
-    lines = scan.text_lines(
-        table(spark, sf_dir, "pages").select("page_id", "html"), "html", rules
-    )
-    rows = scan.extract(lines, rules)
-    return rows.groupBy("pattern").agg(F.count("*").alias("n"))
+    """Assignments in the lines of every page, and how the value tests judge them."""
+    rules = default_rules().with_patterns(INLINE_ASSIGNMENT)
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    rows = scan.extract(scan.text_lines(pages, "html", rules), rules)
+    return agg.reject_breakdown(rows, rules, "key")
 
 
 @query
@@ -256,11 +254,10 @@ def findings_dedup(spark, sf_dir):
 def values_agg(spark, sf_dir):
     rules = default_rules()
     rows = agg.with_type(agg.values(history(spark, sf_dir)), rules)
-    rows = rows.withColumnRenamed("kw_first", "type_idx")
     return shown(rows.select(
-        "file", "key", "value", "occurrences", "commit_count", "author_count", "type_idx",
+        "file", "key", "value", "type", "occurrences", "commit_count", "author_count",
         "first_seen", "last_seen",
-    ).withColumn("type_idx", F.col("type_idx").cast("int")))
+    ))
 
 
 @query

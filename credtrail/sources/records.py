@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from credtrail.functions.dates import instant
 from credtrail.functions.text import csv_escape, mask
-from credtrail.operators.aggregate import by_change_count
 from credtrail.operators.nested import iso_text
-from credtrail.rules import Rules
 
 FINDING_SCHEMA = (
     "file STRING, `key` STRING, `value` STRING, maskedValue STRING, type STRING, "
@@ -21,14 +19,14 @@ HISTORY_TYPE = (
     "authors: ARRAY<STRING>, firstSeen: STRING, lastSeen: STRING>>"
 )
 
-SECRET_TYPE = (
-    "STRUCT<file: STRING, key: STRING, type: STRING, changeCount: INT, "
-    f"totalOccurrences: INT, authors: ARRAY<STRING>, history: {HISTORY_TYPE}>"
+SECRET_SCHEMA = (
+    "file STRING, `key` STRING, type STRING, changeCount INT, totalOccurrences INT, "
+    f"authors ARRAY<STRING>, history {HISTORY_TYPE}"
 )
 
 SCAN_RESULT_SCHEMA = (
     "repository STRING, branch STRING, secretsFound INT, totalValues INT, "
-    f"secrets ARRAY<{SECRET_TYPE}>, scanDate STRING"
+    f"secrets ARRAY<STRUCT<{SECRET_SCHEMA}>>, scanDate STRING"
 )
 
 
@@ -115,8 +113,7 @@ def scan_result(
 
 def read_secrets(spark: SparkSession, path: str) -> DataFrame:
     """Secrets of a folder written by :func:`write_secrets`."""
-    fields = SECRET_TYPE[len("STRUCT<"):-1]
-    return spark.read.schema(fields).json(path)
+    return spark.read.schema(SECRET_SCHEMA).json(path)
 
 
 def read_scan_results(spark: SparkSession, path: str) -> DataFrame:
@@ -195,5 +192,3 @@ def write_redacted(redacted: DataFrame, path: str, text: str) -> None:
     names = [c for c in redacted.columns if c not in ("redacted", "modified", text)]
     redacted.select(*names, F.col("redacted").alias(text)).write.mode("errorifexists").parquet(path)
 
-
-__all__ = ["Rules", "by_change_count"] + [n for n in dir() if n.startswith(("read_", "write_"))]
