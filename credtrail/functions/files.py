@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from credtrail.functions.text import java_quote
 from credtrail.rules import Rules
 
 # Fixed value: larger files are not read.
@@ -28,29 +29,35 @@ def matches_glob(path: Column, glob: str) -> Column:
     return path == F.lit(glob)
 
 
-def ends_with_any(path: Column, suffixes: list[str]) -> Column:
-    """Plain ``.ext`` suffixes become one set lookup on the last extension."""
-    plain = [s[1:] for s in suffixes if s.startswith(".") and s.count(".") == 1]
-    other = [s for s in suffixes if s[1:] not in plain]
-    tests = [path.endswith(s) for s in other]
-    if plain:
-        tests.append(path.contains(".") & F.substring_index(path, ".", -1).isin(*plain))
-    return any_of(tests)
+def glob_regex(glob: str) -> str:
+    """The rule of :func:`matches_glob` as a regex, to test a whole list at once."""
+    if "**" in glob:
+        return "^" + java_quote(glob.split("**", 1)[0])
+    if glob.startswith("*."):
+        return java_quote(glob[1:]) + r"\z"
+    if glob.endswith("/"):
+        return "^" + java_quote(glob)
+    return "^" + java_quote(glob) + r"\z"
+
+
+def _any_regex(path: Column, parts: list[str]) -> Column:
+    return path.rlike("|".join(parts)) if parts else F.lit(False)
 
 
 def is_ignored_file(path: Column, rules: Rules) -> Column:
-    suffixes = [g[1:] for g in rules.ignored_files if g.startswith("*.") and "**" not in g]
-    globs = [g for g in rules.ignored_files if g[1:] not in suffixes]
-    return ends_with_any(path, suffixes) | any_of(matches_glob(path, g) for g in globs)
+    return _any_regex(path, [glob_regex(g) for g in rules.ignored_files])
 
 
 def has_excluded_extension(path: Column, rules: Rules) -> Column:
-    return ends_with_any(path, list(rules.excluded_extensions))
+    return _any_regex(path, [java_quote(e) + r"\z" for e in rules.excluded_extensions])
 
 
 def is_scanned_file(path: Column, rules: Rules) -> Column:
-    """Neither ignored nor excluded. Uses the path only, so it reaches the scan."""
-    return ~(is_ignored_file(path, rules) | has_excluded_extension(path, rules))
+    """Neither ignored nor excluded. Uses the path only, so it is applied below
+    any explode, and on the file listing if the path is file metadata."""
+    parts = [glob_regex(g) for g in rules.ignored_files]
+    parts += [java_quote(e) + r"\z" for e in rules.excluded_extensions]
+    return ~_any_regex(path, list(dict.fromkeys(parts)))
 
 
 def glob_rule_columns(glob: Column) -> dict[str, Column]:

@@ -49,15 +49,20 @@ def may_match(line: Column, rules: Rules) -> Column:
     return any_of(line.contains(n) for n in dict.fromkeys(needs))
 
 
+def word_array(words: list[str]) -> Column:
+    """A constant array; Catalyst folds the split."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
 def keyword_indexes(line: Column, rules: Rules) -> Column:
     """``kw_idx`` of all keywords in the line, ascending. A keyword listed twice
     is there twice; the first element is the lowest, the size the count."""
-    words = F.array(*[F.lit(_needle(kw, rules)) for _, _, kw in rules.keywords])
+    words = word_array([_needle(kw, rules) for _, _, kw in rules.keywords])
     places = F.sequence(F.lit(0), F.lit(len(rules.keywords) - 1))
     folded = _folded(line, rules)
     return F.filter(places, lambda i: F.contains(folded, words[i]))
 
 
 def keyword_name(kw_idx: Column, rules: Rules) -> Column:
-    names = F.array(*[F.lit(kw) for _, _, kw in rules.keywords])
+    names = word_array([kw for _, _, kw in rules.keywords])
     return F.try_element_at(names, kw_idx + 1)

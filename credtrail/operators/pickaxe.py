@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credtrail.functions.files import has_excluded_extension
-from credtrail.functions.keywords import holds_any
+from credtrail.functions.keywords import holds_any, word_array
 from credtrail.functions.text import count_literal
 from credtrail.operators.scan import by_keyword
 from credtrail.rules import Rules
@@ -28,7 +28,7 @@ def keyword_deltas(lines: DataFrame, rules: Rules) -> DataFrame:
     line = F.col("line")
     kept = lines.where(~has_excluded_extension(F.col("file"), rules))
     kept = kept.where(holds_any(line, words))
-    listed = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(line, w))
+    listed = F.filter(word_array(words), lambda w: F.contains(line, w))
     rows = kept.select(*keys, "sign", "line", F.explode(listed).alias("keyword"))
     n = count_literal(line, F.col("keyword"))
     sign = F.when(F.col("sign") == "+", 1).otherwise(-1)

@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credtrail.functions.files import MAX_FILE_BYTES
-from credtrail.functions.text import java_quote, mask, quote_regex
+from credtrail.functions.text import mask, quote_regex
 from credtrail.functions.values import is_usable_value
 from credtrail.operators.aggregate import detect_source
 from credtrail.operators.dedup import distinct_files, usable_values
 from credtrail.plans.ranking import numbered
-from credtrail.plans.sizing import broadcast_if_small
+from credtrail.plans.sizing import BROADCAST_BYTES, broadcast_if_small, byte_size
 from credtrail.plans.storage import materialized
 
 # Fixed value: what a secret is replaced by.
@@ -128,8 +128,6 @@ def redact_by_anchor(
     found = materialized(lists.agg(F.collect_set("value").alias("_values")))
     names = {k: f"_f_{k}" for k in key}
     flat = found.withColumn("_bytes", F.array_join("_values", ""))
-    from credtrail.plans.sizing import BROADCAST_BYTES, byte_size
-
     right = found.withColumnsRenamed(names)
     if byte_size(flat) <= BROADCAST_BYTES:
         right = F.broadcast(right)
@@ -196,30 +194,50 @@ def redact_by_pattern(
     """The other kernel: one regex replacement per pattern batch, over a list of
     patterns small enough for the driver. Text put in by an earlier batch can be
     hit by a later one, text inside a batch cannot."""
-    patterns = [r["pattern"] for r in batches.orderBy("batch").collect()]
+    rows = batches.select("batch", "guard", "pattern").orderBy("batch").collect()
     done = F.col(text)
     with_dollar = replacement.replace("\\", "\\\\").replace("$", "\\$")
-    for p in patterns:
-        done = F.regexp_replace(done, p, with_dollar)
+    for r in rows:
+        done = F.regexp_replace(done, r["guard"] + r["pattern"], with_dollar)
     return texts.withColumn("redacted", done).withColumn(
         "modified", F.col("redacted") != F.col(text)
     )
 
 
+def _guard(values: Column, size: int = 4) -> Column:
+    """A look-ahead for the characters the values start with, so that the regex
+    rarely has to try them one by one."""
+    shortest = F.array_min(F.transform(values, F.length))
+
+    def one_of(place: int) -> Column:
+        chars = F.array_distinct(F.transform(values, lambda v: F.substring(v, place, 1)))
+        quoted = F.transform(
+            F.array_sort(chars), lambda c: F.regexp_replace(c, "([^0-9A-Za-z])", r"\\$1")
+        )
+        listed = F.concat(F.lit("["), F.array_join(quoted, ""), F.lit("]"))
+        return F.when(shortest >= place, listed).otherwise("")
+
+    return F.concat(F.lit("(?="), *[one_of(n) for n in range(1, size + 1)], F.lit(")"))
+
+
 def pattern_batches(values: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
-    """``(batch, n, pattern)``: quoted values, longest first, ``size`` to a pattern."""
+    """``(batch, n, pattern, guard)``: quoted values, longest first, ``size`` to a
+    pattern. One group holds ``size`` values at most."""
     ordered = numbered(
         values.withColumn("_length", F.length("value")),
         [F.col("_length").desc(), F.col("value").asc()],
     )
     batch = F.floor((F.col("position") - 1) / F.lit(size)).cast("int")
-    listed = F.array_sort(
-        F.collect_list(F.struct("position", quote_regex(F.col("value")).alias("quoted")))
+    ranked = F.array_sort(F.collect_list(F.struct("position", "value")))
+    rows = ordered.groupBy(batch.alias("batch")).agg(
+        F.transform(ranked, lambda r: r["value"]).alias("_values")
     )
-    body = F.array_join(F.transform(listed, lambda q: q["quoted"]), "|")
-    return ordered.groupBy(batch.alias("batch")).agg(
-        F.count("*").cast("int").alias("n"),
+    body = F.array_join(F.transform("_values", quote_regex), "|")
+    return rows.select(
+        "batch",
+        F.size("_values").alias("n"),
         F.concat(F.lit("("), body, F.lit(")")).alias("pattern"),
+        _guard(F.col("_values")).alias("guard"),
     )
 
 
@@ -272,9 +290,3 @@ def load_for_cleaning(found: DataFrame) -> Loaded:
     usable = found.where(is_usable_value(F.col("value")))
     return Loaded(usable_values(found), distinct_files(usable), detect_source(found))
 
-
-__all__ = [
-    "REMOVED", "anchors", "find_values", "fold", "java_quote", "load_for_cleaning",
-    "pattern_batches", "redact", "redact_by_anchor", "redact_by_pattern", "redact_files",
-    "redact_lines", "redact_plan", "redact_preview", "redact_summary", "residual",
-]

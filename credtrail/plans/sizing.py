@@ -1,4 +1,4 @@
-"""Broadcast only what has been measured."""
+"""Partition counts and broadcasts by measured size."""
 
 from __future__ import annotations
 
@@ -23,3 +23,14 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     """``df`` must be materialized. Beyond the limit the join shuffles and
     adaptive execution splits its hot keys."""
     return F.broadcast(df) if byte_size(df) <= limit else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core work when an input has fewer splits than there are cores.
+
+    Large tables have many more splits, and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

@@ -17,6 +17,7 @@ from credtrail.operators import aggregate as agg
 from credtrail.operators import merge, nested, pickaxe, redact, report, scan
 from credtrail.operators.dedup import first_findings, longest_first, usable_values
 from credtrail.operators.timeline import secret_timeline
+from credtrail.plans.sizing import spread
 from credtrail.plans.storage import new_path
 from credtrail.rules import (
     INLINE_ASSIGNMENT,
@@ -76,7 +77,8 @@ def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = spread(rows, "doc_id")
     return rows.select("doc_id", F.concat("source", F.lit("/"), "doc_id").alias("file"), "text")
 
 
@@ -164,7 +166,7 @@ def conversation_scan(spark, sf_dir):
 def page_scan(spark, sf_dir):
     """Assignments in the lines of every page, and how the value tests judge them."""
     rules = default_rules().with_patterns(INLINE_ASSIGNMENT)
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     rows = scan.extract(scan.text_lines(pages, "html", rules), rules)
     return agg.reject_breakdown(rows, rules, "key")
 
