@@ -59,8 +59,12 @@ def keyword_indexes(line: Column, rules: Rules) -> Column:
     is there twice; the first element is the lowest, the size the count."""
     words = word_array([_needle(kw, rules) for _, _, kw in rules.keywords])
     places = F.sequence(F.lit(0), F.lit(len(rules.keywords) - 1))
-    folded = _folded(line, rules)
-    return F.filter(places, lambda i: F.contains(folded, words[i]))
+    # The outer lambda folds the line once, not once per keyword.
+    found = F.transform(
+        F.array(_folded(line, rules)),
+        lambda text: F.filter(places, lambda i: F.contains(text, words[i])),
+    )
+    return found[0]
 
 
 def keyword_name(kw_idx: Column, rules: Rules) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credtrail.functions.files import glob_rule_columns
+from credtrail.plans.sizing import broadcast_if_small
+from credtrail.plans.storage import materialized
 
 
 def without_ignored(
@@ -44,4 +46,5 @@ def without_ignored(
     if ignored is None:
         return lines
     ignored = ignored.join(rules, [*by, "how", "text"], "left_semi")
-    return lines.join(ignored.select(*by, "file").distinct(), [*by, "file"], "left_anti")
+    ignored = materialized(ignored.select(*by, "file").distinct())
+    return lines.join(broadcast_if_small(ignored), [*by, "file"], "left_anti")

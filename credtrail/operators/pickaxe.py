@@ -14,6 +14,8 @@ from credtrail.functions.files import has_excluded_extension
 from credtrail.functions.keywords import holds_any, word_array
 from credtrail.functions.text import count_literal
 from credtrail.operators.scan import by_keyword
+from credtrail.plans.sizing import broadcast_if_small
+from credtrail.plans.storage import materialized
 from credtrail.rules import Rules
 
 
@@ -44,8 +46,8 @@ def pickaxe_commits(lines: DataFrame, rules: Rules) -> DataFrame:
 def pickaxe_findings(found: DataFrame, lines: DataFrame, rules: Rules) -> DataFrame:
     """Findings as a per-keyword log search would see them: ``hits`` counts only
     keywords whose commit and file the search returns."""
-    changed = pickaxe_commits(lines, rules)
+    changed = materialized(pickaxe_commits(lines, rules))
     on = [c for c in ("repo", "commit", "file", "keyword") if c in changed.columns]
     hits = by_keyword(found.drop("hits", "kw_first"), rules)
-    kept = hits.join(changed.select(*on), on, "left_semi")
+    kept = hits.join(broadcast_if_small(changed.select(*on)), on, "left_semi")
     return kept.withColumn("hits", F.lit(1)).withColumnRenamed("kw_idx", "kw_first")

@@ -65,34 +65,64 @@ def anchors(values: DataFrame) -> DataFrame:
     return rated.groupBy("value", "word", "size").agg(rarest.alias("anchor"))
 
 
-def find_values(texts: DataFrame, values: DataFrame, key: list[str], text: str) -> DataFrame:
-    """``(*key, value)``: which values each text holds. ``key`` must be unique.
+def _offers(texts: DataFrame, table: DataFrame, key: list[str], text: str) -> list[tuple]:
+    """``(pieces of the lines, anchors of that kind)``, for each kind of anchor.
 
-    Values have no line ends (they come from lines), so texts are searched line
-    by line, which keeps the pieces of one row few; if some value has one, the
-    whole text is searched at once.
+    Values have no line ends (they come from lines), so texts are cut into lines,
+    which keeps the pieces of one row few; if some value has one, the whole text
+    is taken at once.
     """
-    table = materialized(anchors(values))
     kinds = [(r["word"], r["size"]) for r in table.select("word", "size").distinct().collect()]
     if not kinds:
-        return texts.select(*key, F.lit("").alias("value")).where(F.lit(False))
+        return []
     whole = table.where(F.col("value").contains("\n")).limit(1).count() > 0
     units = F.array(F.col(text)) if whole else F.split(F.col(text), "\n")
     lines = texts.select(*key, F.explode(units).alias("_line"))
     # No value can be in a line shorter than the shortest one.
     lines = lines.where(F.length("_line") >= min(size for _, size in kinds))
-
-    looked_up = broadcast_if_small(table)
-    found = None
-    for word, size in sorted(kinds):
-        wanted = (F.col("word") == word) & (F.col("size") == size)
-        offers = lines.select(
-            *key, "_line", F.explode(pieces(F.col("_line"), size, word)).alias("anchor")
+    return [
+        (
+            lines.select(
+                *key, "_line", F.explode(pieces(F.col("_line"), size, word)).alias("anchor")
+            ),
+            table.where((F.col("word") == word) & (F.col("size") == size)).select(
+                "anchor", "value"
+            ),
         )
-        part = offers.join(looked_up.where(wanted), "anchor")
-        part = part.where(F.col("_line").contains(F.col("value"))).select(*key, "value")
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+        for word, size in sorted(kinds)
+    ]
+
+
+def candidates(
+    texts: DataFrame, values: DataFrame, key: list[str], text: str
+) -> tuple[DataFrame, bool]:
+    """``(*key, value)`` with at least the values each text holds, and whether it
+    is exactly those. ``key`` must be unique.
+
+    With anchors small enough to broadcast, texts stay where they are and each
+    line is checked at once. Otherwise keys and pieces are shuffled, without the
+    text, and a pair only says that the anchor is there.
+    """
+    table = materialized(anchors(values))
+    small = byte_size(table) <= BROADCAST_BYTES
+    pairs = texts.select(*key, F.lit("").alias("value")).where(F.lit(False))
+    for offers, looked_up in _offers(texts, table, key, text):
+        if small:
+            met = offers.join(F.broadcast(looked_up), "anchor")
+            met = met.where(F.col("_line").contains(F.col("value")))
+        else:
+            met = offers.select(*key, "anchor").distinct().join(looked_up, "anchor")
+        pairs = pairs.unionByName(met.select(*key, "value"))
+    return pairs.distinct(), small
+
+
+def find_values(texts: DataFrame, values: DataFrame, key: list[str], text: str) -> DataFrame:
+    """``(*key, value)``: exactly the values each text holds."""
+    pairs, exact = candidates(texts, values, key, text)
+    if exact:
+        return pairs
+    held = pairs.join(texts.select(*key, F.col(text).alias("_text")), key)
+    return held.where(F.col("_text").contains(F.col("value"))).select(*key, "value")
 
 
 def fold(text: Column, values: Column, replacement: str = REMOVED) -> Column:
@@ -124,7 +154,9 @@ def redact_by_anchor(
     What was found is small next to the texts. If measured so, it is broadcast
     and the texts are not shuffled at all.
     """
-    lists = find_values(texts, values, key, text).groupBy(*key)
+    # Replacing a value that is not there changes nothing, so candidates will do.
+    # One group holds values of one text, which bounds them.
+    lists = candidates(texts, values, key, text)[0].groupBy(*key)
     found = materialized(lists.agg(F.collect_set("value").alias("_values")))
     names = {k: f"_f_{k}" for k in key}
     flat = found.withColumn("_bytes", F.array_join("_values", ""))

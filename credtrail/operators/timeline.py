@@ -9,12 +9,13 @@ from credtrail.operators.scan import secret_keys
 from credtrail.plans.ranking import numbered
 
 
-def secret_timeline(value_rows: DataFrame) -> DataFrame:
+def secret_timeline(value_rows: DataFrame, by: str = "first_seen") -> DataFrame:
     """Values of each secret by first appearance, with the value before and the
-    moment the next one came."""
+    moment the next one came; or by ``occurrences``, most frequent first."""
+    first = F.col("occurrences").desc() if by == "occurrences" else F.col("first_seen").asc()
     rows = numbered(
         value_rows,
-        [F.col("first_seen").asc(), F.col("value").asc()],
+        [first, F.col("value").asc()],
         secret_keys(value_rows),
         neighbours={"previous_value": "-value", "replaced_at": "+first_seen"},
     )

@@ -541,6 +541,11 @@ FROM c GROUP BY ALL"""
     "stream_author_counts": _base(_top("et", "author", False), ENTRIES),
 }
 
+ORACLE["stream_days"] = _base(
+    """SELECT day, n FROM (SELECT date_trunc('day', date)::TIMESTAMP AS day, count(*) AS n
+  FROM h GROUP BY 1)
+WHERE day + INTERVAL 1 DAY <= (SELECT max(date) FROM h) - INTERVAL 1 DAY"""
+)
 ORACLE["csv_roundtrip"] = (
     'SELECT * EXCLUDE ("Part") FROM (' + ORACLE["secrets_csv_view"] + ")"
 )

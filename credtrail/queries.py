@@ -18,7 +18,7 @@ from credtrail.operators import merge, nested, pickaxe, redact, report, scan
 from credtrail.operators.dedup import first_findings, longest_first, usable_values
 from credtrail.operators.timeline import secret_timeline
 from credtrail.plans.sizing import spread
-from credtrail.plans.storage import new_path
+from credtrail.plans.storage import materialized, new_path
 from credtrail.rules import (
     INLINE_ASSIGNMENT,
     Rules,
@@ -92,6 +92,13 @@ def history(spark: SparkSession, sf_dir: str, rules: Rules | None = None) -> Dat
     return scan.scan_history(commit_lines(spark, sf_dir), rules)
 
 
+def kept_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings written once, for queries that use them more than once: the
+    lines are then read and matched a single time."""
+    columns = ("seq", "commit", "author", "date", "file", "key", "value", "hits", "kw_first")
+    return materialized(history(spark, sf_dir).select(*columns))
+
+
 def snapshot_lines(lines: DataFrame) -> DataFrame:
     """The current files: lines whose last change added them."""
     # The highest (seq, sign) in one number, so the aggregate needs no sort.
@@ -464,7 +471,7 @@ def pattern_batches(spark, sf_dir):
 
 @query
 def redact_plan(spark, sf_dir):
-    return redact.redact_plan(history(spark, sf_dir))
+    return redact.redact_plan(kept_history(spark, sf_dir))
 
 
 @query
@@ -522,8 +529,8 @@ def redact_summary(spark, sf_dir):
 def redact_residual(spark, sf_dir):
     """Scan the redacted documents again and look for the values: both zero."""
     rules = prose_rules()
-    found = document_values(spark, sf_dir)
-    done = _redacted_documents(spark, sf_dir, redact.redact)
+    found = materialized(document_values(spark, sf_dir))
+    done = redact.redact(documents(spark, sf_dir), found, ["doc_id"], "text")
     left = redact.residual(done, found, ["doc_id"])
     clean = done.select("doc_id", "file", F.col("redacted").alias("text"))
     again = scan.findings(scan.text_lines(clean, "text", rules), rules)
@@ -540,22 +547,23 @@ def redact_residual(spark, sf_dir):
 
 @query
 def secrets_csv_view(spark, sf_dir):
-    return nested.csv_view(history(spark, sf_dir), default_rules())
+    return nested.csv_view(kept_history(spark, sf_dir), default_rules())
 
 
 @query
 def stats_long(spark, sf_dir):
-    return report.stats_long(report.secret_stats(history(spark, sf_dir), default_rules()))
+    return report.stats_long(report.secret_stats(kept_history(spark, sf_dir), default_rules()))
 
 
 @query
 def stats_long_entries(spark, sf_dir):
-    return report.stats_long(report.entry_stats(_entries(spark, sf_dir), default_rules()))
+    entries = materialized(_entries(spark, sf_dir).drop("line", "pattern", "sign"))
+    return report.stats_long(report.entry_stats(entries, default_rules()))
 
 
 @query
 def report_authors(spark, sf_dir):
-    return report.report_authors(_entries(spark, sf_dir))
+    return report.report_authors(materialized(_entries(spark, sf_dir).select("author")))
 
 
 @query
@@ -565,19 +573,19 @@ def report_files(spark, sf_dir):
 
 @query
 def report_secrets(spark, sf_dir):
-    return report.report_secrets(history(spark, sf_dir), default_rules())
+    return report.report_secrets(kept_history(spark, sf_dir), default_rules())
 
 
 @query
 def report_values(spark, sf_dir):
-    return report.report_values(history(spark, sf_dir), default_rules())
+    return report.report_values(kept_history(spark, sf_dir), default_rules())
 
 
 @query
 def csv_roundtrip(spark, sf_dir):
     """The CSV files read back: texts, numbers and separators survive."""
     path = new_path(spark, "secrets-csv")
-    records.write_csv(nested.csv_view(history(spark, sf_dir), default_rules()), path)
+    records.write_csv(nested.csv_view(kept_history(spark, sf_dir), default_rules()), path)
     reader = spark.read.option("header", True).option("sep", ";").option("escape", '"')
     schema = (
         "File STRING, Key STRING, Type STRING, ChangeCount BIGINT, TotalOccurrences BIGINT, "
@@ -645,7 +653,7 @@ def jsonl_roundtrip(spark, sf_dir):
 @query
 def json_roundtrip(spark, sf_dir):
     path = new_path(spark, "secrets")
-    rows = nested.nested_secrets(history(spark, sf_dir), default_rules())
+    rows = nested.nested_secrets(kept_history(spark, sf_dir), default_rules())
     records.write_secrets(rows, path)
     back = records.analyzed_secrets(records.read_secrets(spark, path))
     return back.select("file", "key", "type", "change_count", "total_occurrences")
@@ -655,7 +663,7 @@ def json_roundtrip(spark, sf_dir):
 def scan_result_roundtrip(spark, sf_dir):
     """A whole scan as one nested row, written and analyzed."""
     path = new_path(spark, "scan")
-    rows = nested.nested_secrets(history(spark, sf_dir), default_rules())
+    rows = nested.nested_secrets(kept_history(spark, sf_dir), default_rules())
     records.scan_result(rows, "events", "--all", "2030-01-01T00:00:00Z").write.json(path)
     back = records.read_scan_results(spark, path)
     found = records.commits_of_secrets(back)
