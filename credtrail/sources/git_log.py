@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,36 +33,57 @@ CARRIED = (
 )
 
 
-def _carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Give each line the last headers of its block, and its place in it."""
+def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Give each line the last headers of its block, and its place in it.
+
+    A null means that no header came yet in the block; a commit without a file
+    header so far has the file line ``""``.
+    """
     block, header, file_line, place = None, None, None, 0
     for batch in batches:
-        out = []
-        for name, rows in batch.groupby(["path", "block"], sort=False):
+        for name, rows in _runs(batch):
             if name != block:
                 block, header, file_line, place = name, None, None, 0
-            rows = rows.reset_index(drop=True)
-            commit = rows["kind"] == "commit"
-            # A new commit has no file yet: "" marks that, null means not known.
-            heads = rows["line"].where(commit).ffill()
-            starts = rows["line"].where(rows["kind"] == "file")
-            starts = starts.mask(commit, "").ffill()
-            rows["header"] = heads.fillna(header) if header is not None else heads
-            rows["file_line"] = starts.fillna(file_line) if file_line is not None else starts
-            rows["at"] = rows.index + place
-            place += len(rows)
-            header = _last(rows["header"], header)
-            file_line = _last(rows["file_line"], file_line)
-            out.append(rows)
-        if out:
-            yield pd.concat(out)[
-                ["path", "block", "at", "header", "file_line", "kind", "line"]
-            ]
-
-
-def _last(column: pd.Series, default):
-    value = column.iloc[-1]
-    return default if pd.isna(value) else value
+            kind, line = rows.column("kind"), rows.column("line")
+            commit_at = _last_place(kind, "commit")
+            file_at = _last_place(kind, "file")
+            headers = _filled(_picked(line, commit_at), header)
+            # A new commit ends the file before it.
+            ended = pa.array((commit_at >= 0) & (commit_at > file_at))
+            files = _filled(pc.if_else(ended, "", _picked(line, file_at)), file_line)
+            at = pa.array(np.arange(place, place + rows.num_rows, dtype="int64"))
+            place += rows.num_rows
+            header, file_line = headers[-1].as_py(), files[-1].as_py()
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("path"), rows.column("block"), at, headers, files, kind, line],
+                names=["path", "block", "at", "header", "file_line", "kind", "line"],
+            )
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The stretches of a batch that come from one block."""
+    path, start = batch.column("path"), batch.column("block")
+    codes = path.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    starts = start.to_numpy(zero_copy_only=False)
+    turns = np.flatnonzero((codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])) + 1
+    edges = [0, *turns.tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield (path[a].as_py(), start[a].as_py()), batch.slice(a, b - a)
+
+
+def _last_place(kind: pa.Array, name: str) -> np.ndarray:
+    """For each row the place of the last row of that kind, -1 before the first."""
+    hit = pc.fill_null(pc.equal(kind, name), False).to_numpy(zero_copy_only=False)
+    return np.maximum.accumulate(np.where(hit, np.arange(len(hit)), -1))
+
+
+def _picked(line: pa.Array, places: np.ndarray) -> pa.Array:
+    return line.take(pa.array(places, mask=places < 0))
+
+
+def _filled(texts: pa.Array, before: str | None) -> pa.Array:
+    return texts if before is None else pc.fill_null(texts, before)
 
 
 def read_git_log(
@@ -101,7 +124,7 @@ def read_git_log(
         lines = lines.where((F.col("kind") != "change") | wanted)
 
     # Kept for two uses: the lines, and the last headers of each block.
-    carried = materialized(lines.mapInPandas(_carry, CARRIED))
+    carried = materialized(lines.mapInArrow(_carry, CARRIED))
     changes = carried.where(F.col("kind") == "change").drop("kind")
     known = F.col("header").isNotNull() & F.col("file_line").isNotNull()
 
