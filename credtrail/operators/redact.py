@@ -35,6 +35,9 @@ ANCHOR = 8
 # Up to so many values are folded as literals, without a join.
 FOLD_VALUES = 64
 
+# Up to so many values are replaced by regex alternations.
+PATTERN_VALUES = 1000
+
 
 def pieces(text: Column, length: int, word: bool) -> Column:
     """Distinct overlapping pieces of a text, in one regex pass."""
@@ -221,15 +224,24 @@ def redact_lines(
 
 
 def redact_by_pattern(
-    texts: DataFrame, batches: DataFrame, text: str, replacement: str = REMOVED
+    texts: DataFrame,
+    values: DataFrame,
+    key: list[str],
+    text: str,
+    replacement: str = REMOVED,
 ) -> DataFrame:
-    """The other kernel: one regex replacement per pattern batch, over a list of
-    patterns small enough for the driver. Text put in by an earlier batch can be
-    hit by a later one, text inside a batch cannot."""
-    rows = batches.select("batch", "guard", "pattern").orderBy("batch").collect()
+    """The other kernel: one regex replacement per pattern batch.
+
+    Text put in by an earlier batch can be hit by a later one, text inside a
+    batch cannot. For up to ``PATTERN_VALUES`` values; more go by their anchors.
+    """
+    values = materialized(values)
+    if values.limit(PATTERN_VALUES + 1).count() > PATTERN_VALUES:
+        return redact_by_anchor(texts, values, key, text, replacement)
+    batches = pattern_batches(values).select("batch", "guard", "pattern").orderBy("batch")
     done = F.col(text)
     with_dollar = replacement.replace("\\", "\\\\").replace("$", "\\$")
-    for r in rows:
+    for r in batches.collect():
         done = F.regexp_replace(done, r["guard"] + r["pattern"], with_dollar)
     return texts.withColumn("redacted", done).withColumn(
         "modified", F.col("redacted") != F.col(text)

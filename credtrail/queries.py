@@ -505,9 +505,7 @@ def redact_documents_anchor(spark, sf_dir):
 
 @query
 def redact_documents_pattern(spark, sf_dir):
-    batches = redact.pattern_batches(document_values(spark, sf_dir))
-    texts = documents(spark, sf_dir).select("doc_id", "text")
-    done = redact.redact_by_pattern(texts, batches, "text")
+    done = _redacted_documents(spark, sf_dir, redact.redact_by_pattern)
     return done.select("doc_id", fingerprint(F.col("redacted")).alias("text_hash"), "modified")
 
 
@@ -661,10 +659,11 @@ def json_roundtrip(spark, sf_dir):
 
 @query
 def scan_result_roundtrip(spark, sf_dir):
-    """A whole scan as one nested row, written and analyzed."""
+    """A whole scan in nested form, written and read for cleaning."""
     path = new_path(spark, "scan")
     rows = nested.nested_secrets(kept_history(spark, sf_dir), default_rules())
-    records.scan_result(rows, "events", "--all", "2030-01-01T00:00:00Z").write.json(path)
+    results = records.scan_results(rows, "events", "--all", "2030-01-01T00:00:00Z")
+    records.write_scan_results(results, path)
     back = records.read_scan_results(spark, path)
     found = records.commits_of_secrets(back)
     return found.groupBy("file", "key").agg(

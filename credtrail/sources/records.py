@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from credtrail.functions.dates import instant
 from credtrail.functions.text import csv_escape, mask
 from credtrail.operators.nested import iso_text
+from credtrail.plans.ranking import numbered
 
 FINDING_SCHEMA = (
     "file STRING, `key` STRING, `value` STRING, maskedValue STRING, type STRING, "
@@ -86,39 +87,60 @@ def write_secrets(nested: DataFrame, path: str) -> None:
     nested.write.json(path)
 
 
-def scan_result(
-    nested: DataFrame, repository: str, branch: str, scan_date: str
+def scan_results(
+    nested: DataFrame,
+    repository: str,
+    branch: str,
+    scan_date: str,
+    result_size: int = 100_000,
 ) -> DataFrame:
-    """A whole scan as one row, the form other tools read. Only for results that
-    fit one row; use :func:`write_secrets` for the rest."""
+    """A scan in the form other tools read, most changed secrets first.
+
+    Usually one row. When the secrets list more than ``result_size`` commits they
+    go over several rows; each is a valid result and carries the totals of all.
+    """
+    weight = F.aggregate(F.col("history"), F.lit(1), lambda n, h: n + F.size(h["commits"]))
+    rows = numbered(
+        nested.withColumn("_size", weight),
+        [F.col("changeCount").desc(), *(F.col(c).asc() for c in ("file", "key", "part"))],
+        weight=F.col("_size"),
+    )
     secret = F.struct(
         "file", "key", "type", F.col("changeCount").cast("int").alias("changeCount"),
         F.col("totalOccurrences").cast("int").alias("totalOccurrences"), "authors", "history",
     )
-    ordered = F.array_sort(
-        F.collect_list(F.struct((-F.col("changeCount")).alias("n"), secret.alias("s")))
+    chunk = F.floor((F.col("position") - F.col("_size")) / F.lit(result_size))
+    listed = F.array_sort(F.collect_list(F.struct("position", secret.alias("secret"))))
+    chunks = rows.groupBy(chunk.alias("_chunk")).agg(
+        F.transform(listed, lambda x: x["secret"]).alias("secrets")
     )
-    first = F.col("part") == 0
-    return nested.agg(
+    whole = rows.where(F.col("part") == 0)
+    n_secrets = whole.agg(F.count("*").cast("int").alias("n")).scalar()
+    n_values = whole.agg(F.sum("changeCount").cast("int").alias("n")).scalar()
+    return chunks.select(
         F.lit(repository).alias("repository"),
         F.lit(branch).alias("branch"),
-        F.count_if(first).cast("int").alias("secretsFound"),
-        F.coalesce(F.sum(F.when(first, F.col("changeCount"))), F.lit(0))
-        .cast("int")
-        .alias("totalValues"),
-        F.transform(ordered, lambda x: x["s"]).alias("secrets"),
+        n_secrets.alias("secretsFound"),
+        n_values.alias("totalValues"),
+        "secrets",
         F.lit(scan_date).alias("scanDate"),
     )
 
 
+def write_scan_results(results: DataFrame, path: str) -> None:
+    results.write.json(path)
+
+
 def read_secrets(spark: SparkSession, path: str) -> DataFrame:
     """Secrets of a folder written by :func:`write_secrets`."""
     return spark.read.schema(SECRET_SCHEMA).json(path)
 
 
-def read_scan_results(spark: SparkSession, path: str) -> DataFrame:
-    """Secrets of whole scan-result files, one file per scan."""
-    whole = spark.read.schema(SCAN_RESULT_SCHEMA).option("multiLine", True).json(path)
+def read_scan_results(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Secrets of scan results: one result per line, as written here, or with
+    line ends inside (``multi_line``), one per file."""
+    reader = spark.read.schema(SCAN_RESULT_SCHEMA).option("multiLine", multi_line)
+    whole = reader.json(path)
     return whole.select(F.inline("secrets"))
 
 

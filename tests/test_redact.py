@@ -107,7 +107,7 @@ def test_pattern_kernel(spark):
     texts = [(i, f"<{random.choice(values)}> and ]{random.choice(values)}[") for i in range(60)]
     df = spark.createDataFrame(texts, "id INT, text STRING")
     vals = spark.createDataFrame([(v,) for v in set(values)], "value STRING")
-    one = redact.redact_by_pattern(df, redact.pattern_batches(vals, 500), "text")
+    one = redact.redact_by_pattern(df, vals, ["id"], "text")
     import re
 
     pattern = "|".join(re.escape(v) for v in sorted(set(values), key=lambda v: (-len(v), v)))
@@ -115,6 +115,14 @@ def test_pattern_kernel(spark):
     assert got == {i: re.sub(pattern, MARK, t) for i, t in texts}
 
 
+def test_many_values_leave_the_pattern_kernel(spark, monkeypatch):
+    monkeypatch.setattr(redact, "PATTERN_VALUES", 5)
+    df = spark.createDataFrame([(1, "a value3 b"), (2, "none")], "id INT, text STRING")
+    vals = spark.createDataFrame([(f"value{i}",) for i in range(8)], "value STRING")
+    rows = redact.redact_by_pattern(df, vals, ["id"], "text").orderBy("id").collect()
+    assert [r.redacted for r in rows] == [f"a {MARK} b", "none"]
+
+
 def test_only_named_files(spark):
     files = spark.createDataFrame(
         [(1, "a", "pw=value123"), (2, "b", "pw=value123"), (3, "c", "value123" + "x" * 2_000_000)],

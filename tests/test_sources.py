@@ -155,7 +155,7 @@ def test_sample_scan_result(spark, tmp_path):
     path = tmp_path / "r"
     path.mkdir()
     (path / "scan.json").write_text(json.dumps(result, indent=2))
-    secrets = records.read_scan_results(spark, str(path))
+    secrets = records.read_scan_results(spark, str(path), multi_line=True)
     row = records.analyzed_secrets(secrets).first()
     assert (row.change_count, row.total_occurrences) == (2, 4)
     assert row.first_seen.isoformat() == "2024-01-01T00:00:00"
@@ -195,11 +195,17 @@ def test_stats_csv(spark, tmp_path):
     assert {r.section for r in back.collect()} == {"summary", "authors", "files", "types"}
 
 
-def test_whole_result_in_one_row(spark):
-    found = scan.scan_history(commit_lines(spark, "/root/testdata/sf0.001"), R)
+def test_result_rows(spark):
+    found = scan.scan_history(commit_lines(spark, "/root/testdata/sf0.001"), R).cache()
     rows = nested.nested_secrets(found, R)
-    one = records.scan_result(rows, "r", "--all", "2024-01-01T00:00:00Z").first()
+    args = ("r", "--all", "2024-01-01T00:00:00Z")
+    one = records.scan_results(rows, *args).collect()
     total = agg.scan_summary(agg.secrets(found, R)).first()
-    assert (one.secretsFound, one.totalValues) == (total.secrets_found, total.total_values)
-    counts = [s.changeCount for s in one.secrets]
-    assert counts == sorted(counts, reverse=True) and len(counts) == one.secretsFound
+    assert len(one) == 1
+    assert (one[0].secretsFound, one[0].totalValues) == (total.secrets_found, total.total_values)
+    counts = [s.changeCount for s in one[0].secrets]
+    assert counts == sorted(counts, reverse=True) and len(counts) == total.secrets_found
+    many = records.scan_results(rows, *args, result_size=40).collect()
+    assert len(many) > 2 and {r.secretsFound for r in many} == {total.secrets_found}
+    listed = sorted((s.file, s.key) for r in many for s in r.secrets)
+    assert listed == sorted((s.file, s.key) for s in one[0].secrets)
