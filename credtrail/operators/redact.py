@@ -32,6 +32,9 @@ BATCH_SIZE = 100
 # prose has few, so texts offer few anchors to the join.
 ANCHOR = 8
 
+# From so many pieces at the end of a value its anchor is chosen.
+ANCHORS_TRIED = 8
+
 # Up to so many values are folded as literals, without a join.
 FOLD_VALUES = 64
 
@@ -59,8 +62,12 @@ def anchors(values: DataFrame) -> DataFrame:
     for n in range(1, ANCHOR):
         options = options.when(size == n, F.array(value))
     options = options.otherwise(pieces(value, ANCHOR, False))
+    # Any piece will do. The last ones are enough to find a rare one: what values
+    # share is mostly their start.
+    some = F.slice(options, F.greatest(F.size(options) - (ANCHORS_TRIED - 1), F.lit(1)),
+                   F.lit(ANCHORS_TRIED))
     each = values.select(
-        "value", word.alias("word"), size.alias("size"), F.explode(options).alias("anchor")
+        "value", word.alias("word"), size.alias("size"), F.explode(some).alias("anchor")
     )
     counts = each.groupBy("word", "size", "anchor").agg(F.count("*").alias("_n"))
     rarest = F.min(F.struct("_n", "anchor"))["anchor"]
