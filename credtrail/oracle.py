@@ -505,6 +505,11 @@ FROM c GROUP BY ALL"""
   strftime(last_seen, '%Y-%m-%dT%H:%M:%SZ') AS last_raw FROM s""",
         SECRETS,
     ),
+    "file_tree_scan": _base(
+        f"""SELECT file, key, {SHOWN}, CAST(sum(hits) AS BIGINT) AS occurrences
+FROM cur GROUP BY file, key, value""",
+        SNAPSHOT,
+    ),
     "jsonl_roundtrip": _base(
         f"SELECT file, key, type, commit, author, strftime(date, '%Y-%m-%dT%H:%M:%SZ') AS date_raw, "
         f"{SHOWN} FROM et",

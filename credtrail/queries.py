@@ -12,10 +12,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credtrail.functions.keywords import has_any_keyword
 from credtrail.functions.text import fingerprint, mask
 from credtrail.operators import aggregate as agg
-from credtrail.operators import merge, nested, pickaxe, redact, report, scan
-from credtrail.operators.dedup import first_findings, longest_first, usable_values
+from credtrail.operators import dedup, merge, nested, pickaxe, redact, report, scan
+from credtrail.operators.dedup import longest_first, usable_values
+from credtrail.operators.ignore import without_ignored
 from credtrail.operators.timeline import secret_timeline
 from credtrail.plans.sizing import spread
 from credtrail.plans.storage import materialized, new_path
@@ -28,6 +30,7 @@ from credtrail.rules import (
     keyword_table,
 )
 from credtrail.sources import records
+from credtrail.sources.files import read_file_lines
 from credtrail.sources.git_log import read_git_log
 from credtrail.streaming import findings as streams
 
@@ -161,8 +164,6 @@ def conversation_scan(spark, sf_dir):
     rules = default_rules()
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     lines = rows.select("conv_id", "turn", "role", F.explode(F.split("text", "\n")).alias("line"))
-    from credtrail.functions.keywords import has_any_keyword
-
     hit = has_any_keyword(F.col("line"), rules)
     return lines.groupBy("role").agg(
         F.count("*").alias("lines"), F.count_if(hit).alias("keyword_lines")
@@ -293,9 +294,7 @@ def secrets_alternative_rules(spark, sf_dir):
 
 @query
 def secret_authors(spark, sf_dir):
-    from credtrail.operators.dedup import secret_authors as authors
-
-    return authors(history(spark, sf_dir))
+    return dedup.secret_authors(history(spark, sf_dir))
 
 
 @query
@@ -640,6 +639,20 @@ def git_log_secrets(spark, sf_dir):
     )
 
 
+@query
+def file_tree_scan(spark, sf_dir):
+    """The current files as a folder tree, one folder per file, and its findings."""
+    rules = default_rules()
+    path = new_path(spark, "tree")
+    lines = snapshot_lines(commit_lines(spark, sf_dir)).select("file", "line")
+    lines.write.partitionBy("file").text(path)
+    everything = replace(rules, ignored_files=(), excluded_extensions=())
+    read = read_file_lines(spark, path, everything, max_bytes=None)
+    folder = F.url_decode(F.regexp_extract("file", "^file=([^/]+)/", 1))
+    found = scan.findings(scan.scanned_files(read.withColumn("file", folder), rules), rules)
+    return shown(found.groupBy("file", "key", "value").agg(F.sum("hits").alias("occurrences")))
+
+
 @query
 def jsonl_roundtrip(spark, sf_dir):
     path = new_path(spark, "findings")
@@ -679,8 +692,6 @@ def scan_result_roundtrip(spark, sf_dir):
 @query
 def ignored_by_table(spark, sf_dir):
     """Ignored files by a glob list that is a table, per kind of glob."""
-    from credtrail.operators.ignore import without_ignored
-
     globs = ignore_table(spark, default_rules()).where(F.col("list") == "file")
     lines = commit_lines(spark, sf_dir)
     kept = without_ignored(lines, globs.select(F.col("entry").alias("glob")))
