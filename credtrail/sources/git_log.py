@@ -4,7 +4,8 @@ The text is read line by line, so a commit or a file of any size spreads over
 many tasks. Each line belongs to the last commit header and the last file header
 before it. Within a split of the input these are carried along as Arrow batches
 pass by; lines before the first header of a split take them from the splits
-before, of which one small row each is enough.
+before. A first pass, with the text of the headers only, collects those: one row
+per split.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from credtrail.functions.dates import instant
 from credtrail.functions.files import is_scanned_file
 from credtrail.functions.keywords import has_any_keyword, may_match
+from credtrail.plans.sizing import BROADCAST_BYTES, byte_size
 from credtrail.plans.storage import materialized
 from credtrail.rules import Rules
 
@@ -31,6 +33,17 @@ CARRIED = (
     "path STRING, block BIGINT, at BIGINT, header STRING, file_line STRING, "
     "kind STRING, line STRING"
 )
+SCHEMA = pa.schema(
+    [
+        ("path", pa.string()),
+        ("block", pa.int64()),
+        ("at", pa.int64()),
+        ("header", pa.string()),
+        ("file_line", pa.string()),
+        ("kind", pa.string()),
+        ("line", pa.string()),
+    ]
+)
 
 
 def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,6 +56,8 @@ def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, rows in _runs(batch):
             if name != block:
+                if block is not None:
+                    yield _end(block, place, header, file_line)
                 block, header, file_line, place = name, None, None, 0
             kind, line = rows.column("kind"), rows.column("line")
             commit_at = _last_place(kind, "commit")
@@ -56,8 +71,19 @@ def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             header, file_line = headers[-1].as_py(), files[-1].as_py()
             yield pa.RecordBatch.from_arrays(
                 [rows.column("path"), rows.column("block"), at, headers, files, kind, line],
-                names=["path", "block", "at", "header", "file_line", "kind", "line"],
+                schema=SCHEMA,
             )
+    if block is not None:
+        yield _end(block, place, header, file_line)
+
+
+def _end(block: tuple, place: int, header: str | None, file_line: str | None) -> pa.RecordBatch:
+    """What a block leaves to the next one."""
+    path, start = block
+    row = [path, start, place, header, file_line, "end", None]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x], f.type) for x, f in zip(row, SCHEMA)], schema=SCHEMA
+    )
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -123,31 +149,21 @@ def read_git_log(
         wanted = may_match(F.col("line"), rules) & has_any_keyword(F.col("line"), rules)
         lines = lines.where((F.col("kind") != "change") | wanted)
 
-    # Kept for two uses: the lines, and the last headers of each block.
-    carried = materialized(lines.mapInArrow(_carry, CARRIED))
-    changes = carried.where(F.col("kind") == "change").drop("kind")
-    known = F.col("header").isNotNull() & F.col("file_line").isNotNull()
-
-    ends = carried.groupBy("path", "block").agg(F.max("at").alias("_end"))
-    last = carried.join(
-        ends, ["path", "block"]
-    ).where(F.col("at") == F.col("_end")).select("path", "block", "header", "file_line")
     before = Window.partitionBy("path").orderBy("block")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
-    incoming = last.select(
-        "path",
-        "block",
-        F.last("header", True).over(before).alias("_in_header"),
-        F.last("file_line", True).over(before).alias("_in_file"),
+    # Every block takes part, but only headers bring their text.
+    heads = lines.withColumn("line", F.when(F.col("kind") != "change", F.col("line")))
+    ends = heads.mapInArrow(_carry, CARRIED)
+    incoming = materialized(
+        ends.where(F.col("kind") == "end").select(
+            "path",
+            "block",
+            F.last("header", True).over(before).alias("_in_header"),
+            F.last("file_line", True).over(before).alias("_in_file"),
+        )
     )
-    late = (
-        changes.where(~known)
-        .join(incoming, ["path", "block"], "left")
-        .withColumn("file_line", F.coalesce("file_line", "_in_file"))
-        .withColumn("header", F.coalesce("header", "_in_header"))
-        .drop("_in_header", "_in_file")
-    )
-    placed = changes.where(known).unionByName(late)
+    changes = lines.mapInArrow(_carry, CARRIED).where(F.col("kind") == "change")
+    placed = _with_incoming(changes.drop("kind"), incoming)
     placed = placed.where(F.col("header").isNotNull() & (F.col("file_line") != ""))
 
     fields = F.split(F.col("header"), r"\|", 4)
@@ -168,3 +184,21 @@ def read_git_log(
     if rules is not None:
         rows = rows.where(is_scanned_file(F.col("file"), rules))
     return rows
+
+
+def _with_incoming(changes: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Fill the headers that a block takes from the blocks before."""
+
+    def filled(rows: DataFrame, side: DataFrame) -> DataFrame:
+        return (
+            rows.join(side, ["path", "block"], "left")
+            .withColumn("file_line", F.coalesce("file_line", "_in_file"))
+            .withColumn("header", F.coalesce("header", "_in_header"))
+            .drop("_in_header", "_in_file")
+        )
+
+    if byte_size(incoming) <= BROADCAST_BYTES:
+        return filled(changes, F.broadcast(incoming))
+    # Too many blocks: shuffle only the lines that need it.
+    known = F.col("header").isNotNull() & F.col("file_line").isNotNull()
+    return changes.where(known).unionByName(filled(changes.where(~known), incoming))

@@ -9,7 +9,7 @@ from credtrail import default_rules
 from credtrail.operators import aggregate as agg
 from credtrail.operators import nested, report, scan
 from credtrail.queries import commit_lines
-from credtrail.sources import records
+from credtrail.sources import git_log, records
 from credtrail.sources.files import read_file_lines, read_file_texts
 from credtrail.sources.git_log import read_git_log
 
@@ -67,9 +67,12 @@ def test_log(spark, tmp_path, ends):
     assert log_rows(read_git_log(spark, path)) == EXPECTED
 
 
-@pytest.mark.parametrize("size", [17, 40, 64, 150])
-def test_log_cut_anywhere(spark, tmp_path, size):
-    """Splits that start inside commits and files give the same rows."""
+@pytest.mark.parametrize(("size", "limit"), [(17, None), (40, 0), (64, None), (150, 0)])
+def test_log_cut_anywhere(spark, tmp_path, monkeypatch, size, limit):
+    """Splits that start inside commits and files give the same rows, with the
+    headers broadcast or shuffled."""
+    if limit is not None:
+        monkeypatch.setattr(git_log, "BROADCAST_BYTES", limit)
     path = write_log(tmp_path, LOG)
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", size)
