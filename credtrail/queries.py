@@ -113,7 +113,8 @@ def snapshot_lines(lines: DataFrame) -> DataFrame:
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan_current(snapshot_lines(commit_lines(spark, sf_dir)), F.lit(SCAN_DATE).cast("timestamp_ntz"))
+    when = F.lit(SCAN_DATE).cast("timestamp_ntz")
+    return scan.scan_current(snapshot_lines(commit_lines(spark, sf_dir)), when)
 
 
 def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
