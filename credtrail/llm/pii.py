@@ -206,8 +206,9 @@ def fit(docs: DataFrame) -> Trees:
 def selected(docs: DataFrame, trees: Trees) -> DataFrame:
     """Add ``base`` and ``spans``, arrays of ``(s, kind, e)`` in order; columns of these
     names are replaced, others are left alone."""
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("base", "spans")))
-    rows = docs.select(whole.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    names = [c for c in docs.columns if c not in ("base", "spans")]
+    own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)]
+    rows = docs.select(*own, F.coalesce("text", F.lit("")).alias("text"))
     rows = described(candidates(rows)).withColumnRenamed("spans", "all")
     span = "named_struct('s', c.s, 'kind', c.kind, 'e', c.e)"
     base = F.expr(f"array_sort(transform(filter(all, c -> c.kind < {len(BASE)} AND c.label = 1), c -> {span}))")
@@ -224,7 +225,7 @@ def selected(docs: DataFrame, trees: Trees) -> DataFrame:
         f"(b.s = c.s AND b.kind < c.kind)))))), c -> {span})"
     )
     rows = _once(rows, spans=F.array_sort(F.concat("base", alone)))
-    return rows.select("row.*", "base", "spans")
+    return rows.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), "base", "spans")
 
 
 def joined(spans: str) -> Column:
@@ -248,6 +249,9 @@ def redacted(docs: DataFrame, trees: Trees) -> DataFrame:
                 element_at(array({names}), c.kind + 1)))),
           a -> concat(a.o, substring(text, a.at + 1, length(text))))"""
     )
-    rows = selected(docs.select(F.struct("*").alias("row"), "text"), trees)
+    own = [F.col(f"`{c}`").alias("text" if c == "text" else f"_r{i}") for i, c in enumerate(docs.columns)]
+    rows = selected(docs.select(*own), trees)
     text = F.when(F.size("spans") > 0, built).otherwise(F.col("text"))
-    return rows.select(*(text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    return rows.select(
+        *((text if c == "text" else F.col(f"_r{i}")).alias(c) for i, c in enumerate(docs.columns))
+    )
