@@ -17,7 +17,9 @@ Sets are classes: equal sets have one key (a 64-bit hash of the set), and only c
 compared. In a bucket (classes with a common signature) every class is first compared
 with the least one, which ties groups of near copies together without all their pairs.
 Only buckets that are still in several components then have their remaining
-pairs of different components compared. All comparisons are exact, on whole sets.
+pairs of different components compared. Pairs first pass a sketch: each token turns over one of
+``64 * SKETCH`` bits, and two sets differ in at least as many tokens as their sketches do in
+bits, so what is refused cannot be similar. The rest is compared exactly, on whole sets.
 
 Defined cases: no words: empty set, no links, own component; null ids take part,
 but never name a component; repeated rows and copies share a class; an
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credtrail.llm.common import mixed, written
@@ -47,6 +49,9 @@ NEEDED, WHOLE = 80, 100
 SAMPLE_DOCS, FREQUENT = 2_000, 0.01
 #: Bits of the map of the classes that take part in a pair; fixed, whatever the data.
 MAP_BITS = 1 << 26
+#: Words of 64 bits in a sketch.
+SKETCH = 8
+SKETCHED = [f"s{i}" for i in range(SKETCH)]
 #: Classes of which a task remembers that it has passed them on.
 SEEN = 100_000
 
@@ -231,15 +236,21 @@ def class_map(pairs: DataFrame) -> np.ndarray:
     return out
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens in each bit, little-endian."""
+    odd = np.bincount((tokens >> np.uint64(20) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def classed(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """``doc_id, n_shingles, key, text``: the text only for classes in the map, and
-    from each task once."""
+    """``doc_id, n_shingles, key``, and for classes in the map, from each task once,
+    ``text`` and sketch (``s0, s1, …``)."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, known, passed = shared.value, word_hashes(), set()
         for part in parts:
-            sizes, keys, texts = [], [], []
+            sizes, keys, texts, bits = [], [], [], []
             for text in part.column(1).to_pylist():
                 tokens = shingle_set(text, known)
                 key = set_key(tokens) if len(tokens) else None
@@ -250,13 +261,33 @@ def classed(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                 sizes.append(len(tokens))
                 keys.append(key)
                 texts.append(text if take else None)
+                bits.append(sketch(tokens) if take else bytes(8 * SKETCH))
+            words = np.frombuffer(b"".join(bits), np.int64).reshape(-1, SKETCH)
             columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "text"])
+            columns += [pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "text", *SKETCHED])
 
     kinds = "doc_id bigint, n_shingles bigint, key bigint, text string"
+    kinds += "".join(f", {s} bigint" for s in SKETCHED)
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, kinds)
 
 
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that sizes and sketches allow to be similar."""
+    for side in ("a", "b"):
+        own = sketches.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n_shingles", *SKETCHED)))
+        pairs = pairs.join(own, side)
+    return pairs.where(_fits("a", "b")).select("a", "b")
+
+
+def _fits(one: str, other: str) -> Column:
+    a, b = F.col(f"n_shingles_{one}"), F.col(f"n_shingles_{other}")
+    apart = sum(F.bit_count(F.col(f"{s}_{one}").bitwiseXOR(F.col(f"{s}_{other}"))) for s in SKETCHED)
+    return (WHOLE * F.least(a, b) >= NEEDED * F.greatest(a, b)) & (
+        apart * (WHOLE + NEEDED) <= (a + b) * (WHOLE - NEEDED)
+    )
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are similar, with ``texts (key, text)`` one row for
     each class. Rows of one ``a`` follow each other, so its set is made once."""
@@ -279,9 +310,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def open_pairs(found: DataFrame, nodes: DataFrame, checked: DataFrame) -> DataFrame:
-    """Pairs in buckets that span several components, of different components and not yet
-    compared. Members of a bucket's largest component meet the others only."""
+def open_pairs(found: DataFrame, nodes: DataFrame, checked: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Possible pairs in buckets that span several components, of different components and
+    not yet compared. Members of a bucket's largest component meet the others only. The
+    sketch is part of the join's condition, so refused pairs never become rows."""
     label = nodes.select(F.col("node").alias("member"), "root")
     pairs = checked.join(nodes.withColumnsRenamed({"node": "a", "root": "root_a"}), "a", "left")
     pairs = pairs.join(nodes.withColumnsRenamed({"node": "b", "root": "root_b"}), "b", "left")
@@ -297,10 +329,21 @@ def open_pairs(found: DataFrame, nodes: DataFrame, checked: DataFrame) -> DataFr
     rows = written(rows, "rest")
     sizes = rows.groupBy("sig", "root").count()
     largest = sizes.groupBy("sig").agg(F.max_by("root", F.struct("count", "root")).alias("top"))
+    own = sketches.withColumnsRenamed({"key": "member"})
+    rows = rows.join(own, "member")
     outside = rows.join(largest, "sig").where("root <> top")
-    outside = outside.select("sig", F.col("member").alias("x"), F.col("root").alias("root_x"), "top")
-    met = outside.join(rows, "sig").where("root_x <> root and (root = top or x < member)")
-    met = met.select(F.least("x", "member").alias("a"), F.greatest("x", "member").alias("b")).distinct()
+    sides = {}
+    for side, part in (("a", outside), ("b", rows)):
+        names = {c: f"{c}_{side}" for c in ("member", "root", "n_shingles", *SKETCHED)}
+        sides[side] = part.withColumnsRenamed(names)
+    apart = (F.col("root_a") != F.col("root_b")) & (
+        (F.col("root_b") == F.col("top")) | (F.col("member_a") < F.col("member_b"))
+    )
+    left, right = sides["a"], sides["b"].withColumnRenamed("sig", "sig_b")
+    met = left.join(right, (F.col("sig") == F.col("sig_b")) & apart & _fits("a", "b"))
+    met = met.select(
+        F.least("member_a", "member_b").alias("a"), F.greatest("member_a", "member_b").alias("b")
+    ).distinct()
     return met.join(checked, ["a", "b"], "left_anti")
 
 
@@ -311,13 +354,16 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     pairs = found.select(F.col("center").alias("a"), F.col("member").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     rows = written(classed(docs, class_map(pairs)), "classes")
-    texts = rows.where("text is not null").select("key", "text").dropDuplicates(["key"])
-    links = written(verified(pairs, texts), "links")
+    first = rows.where("text is not null")
+    texts = first.select("key", "text").dropDuplicates(["key"])
+    sketches = first.select("key", "n_shingles", *SKETCHED).distinct()
+    near = written(possible(pairs, sketches), "near")
+    links = written(verified(near, texts), "links")
     nodes = components(links)
-    rest = written(open_pairs(found, nodes, pairs), "pairs")
+    rest = written(open_pairs(found, nodes, pairs, sketches), "near")
     if not rest.isEmpty():
         nodes = components(links.unionByName(verified(rest, texts)))
-    return _grouped(rows.drop("text"), nodes)
+    return _grouped(rows.select("doc_id", "n_shingles", "key"), nodes)
 
 
 def _grouped(rows: DataFrame, nodes: DataFrame) -> DataFrame:
