@@ -142,15 +142,20 @@ def found_blocks(docs: DataFrame, length: int) -> DataFrame:
 def judged_blocks(found: DataFrame) -> DataFrame:
     """Blocks that repeat as a whole (``whole``) and those to look into (``fine``: one of
     each content whose anchor also has other content, if any content there is alone)."""
-    laid = found.repartition("anchor")
-    by_content = Window.partitionBy("anchor", "content")
-    by_anchor = Window.partitionBy("anchor")
     place = F.struct("t1", "t2", "start")
-    rows = laid.withColumn("times", F.count("*").over(by_content))
-    rows = rows.withColumn("is_first", place == F.min(place).over(by_content))
-    rows = rows.withColumn("alone", F.max((F.col("times") == 1).cast("int")).over(by_anchor))
-    rows = rows.withColumn("others", F.max("content").over(by_anchor) != F.min("content").over(by_anchor))
-    fine = F.col("is_first") & F.col("others") & (F.col("alone") == 1)
+    contents = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(place).alias("first"))
+    anchors = contents.groupBy(F.col("anchor").alias("of")).agg(
+        (F.min("content") != F.max("content")).alias("others"),
+        F.max((F.col("times") == 1).cast("int")).alias("alone"),
+    )
+    # A hot anchor is few rows in the sums, and adaptive execution splits it in the joins.
+    known = contents.join(anchors, F.col("anchor") == F.col("of"))
+    open_ = F.col("others") & (F.col("alone") == 1)
+    known = known.where((F.col("times") > 1) | open_).select(
+        F.col("anchor").alias("_a"), F.col("content").alias("_c"), "times", "first", open_.alias("open")
+    )
+    rows = found.join(known, (F.col("anchor") == F.col("_a")) & (F.col("content") == F.col("_c")))
+    fine = F.col("open") & (place == F.col("first"))
     rows = rows.select(*KEY, "start", "n", (F.col("times") > 1).alias("whole"), fine.alias("fine"))
     return rows.where("whole or fine").distinct()
 
@@ -221,7 +226,8 @@ def removed(docs: DataFrame, length: int = 400, rounds: int = 1) -> DataFrame:
         F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(length), text).alias("t2"),
     )
     long_enough = rows.where(F.octet_length("text") >= length).select(*KEY, "text")
-    blocks = written(judged_blocks(found_blocks(long_enough, length)), "blocks")
+    found = written(found_blocks(long_enough, length), "found")
+    blocks = written(judged_blocks(found), "blocks")
     fine = blocks.where("fine")
     again = in_map(long_enough, text_map(fine)).where("listed").drop("listed")
     windows = doubled(again, fine, length, rounds)
