@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from credtrail.functions.files import MAX_FILE_BYTES
 from credtrail.functions.text import mask, quote_regex
 from credtrail.functions.values import is_usable_value
 from credtrail.operators.aggregate import detect_source
@@ -35,10 +34,11 @@ ANCHOR = 8
 # From so many pieces at the end of a value its anchor is chosen.
 ANCHORS_TRIED = 8
 
-# Up to so many values are folded as literals, without a join.
-FOLD_VALUES = 64
+# Stands for the replacement while a text is folded. Noncharacters of Unicode, so no
+# value holds them, and none can match across or inside a replacement.
+MARK = "\uFDD0\uFDD1"
 
-# Up to so many values are replaced by regex alternations.
+# So many values fit in the regex alternations of one plan; more are refused.
 PATTERN_VALUES = 1000
 
 
@@ -136,20 +136,13 @@ def find_values(texts: DataFrame, values: DataFrame, key: list[str], text: str)
 
 
 def fold(text: Column, values: Column, replacement: str = REMOVED) -> Column:
-    """Replace the values of an array one after the other, longest first."""
+    """Replace the values of an array one after the other, longest first. A value
+    that is not in the text changes nothing, so candidates give the same result."""
     ordered = F.array_sort(
         F.transform(values, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))
     )
-    return F.aggregate(
-        ordered, text, lambda done, v: F.replace(done, v["v"], F.lit(replacement))
-    )
-
-
-def fold_literals(text: Column, values: list[str], replacement: str = REMOVED) -> Column:
-    """As :func:`fold` for a short list known on the driver."""
-    for v in sorted(values, key=lambda v: (-len(v), v)):
-        text = F.replace(text, F.lit(v), F.lit(replacement))
-    return text
+    marked = F.aggregate(ordered, text, lambda done, v: F.replace(done, v["v"], F.lit(MARK)))
+    return F.replace(marked, F.lit(MARK), F.lit(replacement))
 
 
 def redact_by_anchor(
@@ -175,7 +168,7 @@ def redact_by_anchor(
         right = F.broadcast(right)
     same = None
     for k, renamed in names.items():
-        test = F.col(k) == F.col(renamed)
+        test = F.col(k).eqNullSafe(F.col(renamed))
         same = test if same is None else same & test
     done = F.when(
         F.col("_values").isNull(), F.col(text)
@@ -183,7 +176,7 @@ def redact_by_anchor(
     return (
         texts.join(right, same, "left")
         .select(*texts.columns, done.alias("redacted"))
-        .withColumn("modified", F.col("redacted") != F.col(text))
+        .withColumn("modified", ~F.col("redacted").eqNullSafe(F.col(text)))
     )
 
 
@@ -194,16 +187,8 @@ def redact(
     text: str,
     replacement: str = REMOVED,
 ) -> DataFrame:
-    """Add ``redacted`` and ``modified``. A few values are folded as literals in
-    one pass over the texts; more of them go by their anchors."""
-    values = materialized(values)
-    few = [r["value"] for r in values.limit(FOLD_VALUES + 1).collect()]
-    if len(few) > FOLD_VALUES:
-        return redact_by_anchor(texts, values, key, text, replacement)
-    done = fold_literals(F.col(text), few, replacement)
-    return texts.withColumn("redacted", done).withColumn(
-        "modified", F.col("redacted") != F.col(text)
-    )
+    """Add ``redacted`` and ``modified``, with one meaning for any number of values."""
+    return redact_by_anchor(texts, values, key, text, replacement)
 
 
 def redact_files(
@@ -212,7 +197,7 @@ def redact_files(
     key: list[str],
     text: str,
     replacement: str = REMOVED,
-    max_bytes: int | None = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Redact the files named by the findings, and no others; larger files than
     ``max_bytes`` stay as they are. Returns the files looked at."""
@@ -240,11 +225,12 @@ def redact_by_pattern(
     """The other kernel: one regex replacement per pattern batch.
 
     Text put in by an earlier batch can be hit by a later one, text inside a
-    batch cannot. For up to ``PATTERN_VALUES`` values; more go by their anchors.
+    batch cannot, and overlapping values give another result than :func:`redact`.
+    More than ``PATTERN_VALUES`` values are an error. The values stand in the plan.
     """
     values = materialized(values)
     if values.limit(PATTERN_VALUES + 1).count() > PATTERN_VALUES:
-        return redact_by_anchor(texts, values, key, text, replacement)
+        raise ValueError(f"more than {PATTERN_VALUES} values: use redact")
     batches = pattern_batches(values).select("batch", "guard", "pattern").orderBy("batch")
     done = F.col(text)
     with_dollar = replacement.replace("\\", "\\\\").replace("$", "\\$")

@@ -101,15 +101,19 @@ def scan_history(
 
 
 def scan_current(
-    lines: DataFrame, scan_date: Column, rules: Rules | None = None
+    lines: DataFrame,
+    scan_date: Column,
+    rules: Rules | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Findings of current files, under the commit and author ``current``.
+    """Findings of current files, under the commit and author ``current``; with
+    ``max_bytes``, of files whose ``size`` is not above it.
 
     ``scan_date`` is a parameter so that a run can be repeated.
     """
     rules = rules or default_rules()
-    if "size" in lines.columns:
-        lines = small_files(lines)
+    if max_bytes is not None:
+        lines = small_files(lines, limit=max_bytes)
     found = findings(scanned_files(lines, rules), rules)
     return found.withColumns(
         {"commit": F.lit(CURRENT), "author": F.lit(CURRENT), "date": scan_date}

@@ -713,12 +713,12 @@ def keyword_groups_hit(spark, sf_dir):
 # -- streams ---------------------------------------------------------------------------
 
 
-def _line_stream(spark, sf_dir) -> DataFrame:
+def _line_stream(spark, sf_dir, files_per_trigger: int = 1000) -> DataFrame:
     path = new_path(spark, "lines")
     lines = commit_lines(spark, sf_dir).withColumn("date", F.col("date").cast("timestamp"))
     lines.write.parquet(path)
-    reader = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1000)
-    return reader.parquet(path)
+    reader = spark.readStream.schema(lines.schema)
+    return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def _run(stream: DataFrame, spark: SparkSession, name: str) -> str:
@@ -787,10 +787,17 @@ def stream_author_counts(spark, sf_dir):
 
 @query
 def stream_days(spark, sf_dir):
-    """Findings per day in append mode; the watermark closes all but the last days."""
-    found = streams.history_stream(_line_stream(spark, sf_dir))
+    """Findings per day, all days, however many triggers the backlog takes."""
+    return days_of(spark, streams.history_stream(_line_stream(spark, sf_dir)))
+
+
+def days_of(spark, found: DataFrame) -> DataFrame:
     out = new_path(spark, "days")
-    writer = streams.findings_per_day(found).writeStream.outputMode("append").format("parquet")
-    writer = writer.option("path", out).option("checkpointLocation", new_path(spark, "days-state"))
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    writer = streams.findings_per_day(found).writeStream.outputMode("complete").foreachBatch(save)
+    writer = writer.option("checkpointLocation", new_path(spark, "days-state"))
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("day TIMESTAMP, n BIGINT").parquet(out)

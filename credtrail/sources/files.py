@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credtrail.functions.files import MAX_FILE_BYTES, is_scanned_file
+from credtrail.functions.files import is_scanned_file
 from credtrail.rules import Rules, default_rules
 
 
@@ -19,7 +19,7 @@ def read_file_lines(
     spark: SparkSession,
     root: str,
     rules: Rules | None = None,
-    max_bytes: int | None = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """``(file, size, line)`` of all text files below ``root``.
 
@@ -40,11 +40,12 @@ def read_file_lines(
 
 
 def read_file_texts(
-    spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES
+    spark: SparkSession, root: str, max_bytes: int | None = None
 ) -> DataFrame:
-    """``(file, size, text)``, whole files up to ``max_bytes``, for redaction."""
+    """``(file, size, text)``, whole files, for redaction; with ``max_bytes`` no
+    larger ones."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    small = raw.where(F.col("length") <= max_bytes)
+    small = raw if max_bytes is None else raw.where(F.col("length") <= max_bytes)
     texts = small.select(
         F.url_decode(relative_path(F.col("path"), root)).alias("file"),
         F.col("length").alias("size"),

@@ -21,12 +21,12 @@ HISTORY_TYPE = (
 )
 
 SECRET_SCHEMA = (
-    "file STRING, `key` STRING, type STRING, changeCount INT, totalOccurrences INT, "
+    "file STRING, `key` STRING, type STRING, changeCount BIGINT, totalOccurrences BIGINT, "
     f"authors ARRAY<STRING>, history {HISTORY_TYPE}"
 )
 
 SCAN_RESULT_SCHEMA = (
-    "repository STRING, branch STRING, secretsFound INT, totalValues INT, "
+    "repository STRING, branch STRING, secretsFound BIGINT, totalValues BIGINT, "
     f"secrets ARRAY<STRUCT<{SECRET_SCHEMA}>>, scanDate STRING"
 )
 
@@ -106,8 +106,8 @@ def scan_results(
         weight=F.col("_size"),
     )
     secret = F.struct(
-        "file", "key", "type", F.col("changeCount").cast("int").alias("changeCount"),
-        F.col("totalOccurrences").cast("int").alias("totalOccurrences"), "authors", "history",
+        "file", "key", "type", F.col("changeCount").cast("bigint").alias("changeCount"),
+        F.col("totalOccurrences").cast("bigint").alias("totalOccurrences"), "authors", "history",
     )
     chunk = F.floor((F.col("position") - F.col("_size")) / F.lit(result_size))
     listed = F.array_sort(F.collect_list(F.struct("position", secret.alias("secret"))))
@@ -115,8 +115,8 @@ def scan_results(
         F.transform(listed, lambda x: x["secret"]).alias("secrets")
     )
     whole = rows.where(F.col("part") == 0)
-    n_secrets = whole.agg(F.count("*").cast("int").alias("n")).scalar()
-    n_values = whole.agg(F.sum("changeCount").cast("int").alias("n")).scalar()
+    n_secrets = whole.agg(F.count("*").alias("n")).scalar()
+    n_values = whole.agg(F.sum("changeCount").cast("bigint").alias("n")).scalar()
     return chunks.select(
         F.lit(repository).alias("repository"),
         F.lit(branch).alias("branch"),

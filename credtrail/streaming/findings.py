@@ -87,8 +87,11 @@ def running_counts(stream: DataFrame, by: str) -> DataFrame:
     return stream.groupBy(by).agg(F.count("*").alias("count"))
 
 
-def findings_per_day(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Findings per day of the commit, in append mode once a day is closed."""
-    day = F.window("date", "1 day")
-    counted = stream.withWatermark("date", delay).groupBy(day).agg(F.count("*").alias("n"))
+def findings_per_day(stream: DataFrame, delay: str | None = None) -> DataFrame:
+    """Findings per day of the commit. Without ``delay`` nothing is ever too late: use
+    complete or update mode, state holds one row per day. With it days close, for append
+    mode, and findings that come later than that are dropped."""
+    if delay is not None:
+        stream = stream.withWatermark("date", delay)
+    counted = stream.groupBy(F.window("date", "1 day")).agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("day"), "n")

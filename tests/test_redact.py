@@ -115,12 +115,31 @@ def test_pattern_kernel(spark):
     assert got == {i: re.sub(pattern, MARK, t) for i, t in texts}
 
 
-def test_many_values_leave_the_pattern_kernel(spark, monkeypatch):
+def test_too_many_values_are_refused_by_the_pattern_kernel(spark, monkeypatch):
     monkeypatch.setattr(redact, "PATTERN_VALUES", 5)
-    df = spark.createDataFrame([(1, "a value3 b"), (2, "none")], "id INT, text STRING")
+    df = spark.createDataFrame([(1, "a value3 b")], "id INT, text STRING")
     vals = spark.createDataFrame([(f"value{i}",) for i in range(8)], "value STRING")
-    rows = redact.redact_by_pattern(df, vals, ["id"], "text").orderBy("id").collect()
-    assert [r.redacted for r in rows] == [f"a {MARK} b", "none"]
+    with pytest.raises(ValueError):
+        redact.redact_by_pattern(df, vals, ["id"], "text")
+
+
+@pytest.mark.parametrize("limit", [redact.BROADCAST_BYTES, 0])
+def test_one_meaning_for_any_number_of_values(spark, monkeypatch, limit):
+    monkeypatch.setattr(redact, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr("credtrail.plans.sizing.BROADCAST_BYTES", limit)
+    rows = [(1, "password=secret1value"), (None, "x=secret1value MOVE"), (3, "abcdefg"), (4, None)]
+    df = spark.createDataFrame(rows, "id INT, text STRING")
+    seen = []
+    for n in (10, 100, 2000):
+        values = ["MOVE", "secret1value", "abcd", "cdefg", *(f"filler{i:06d}" for i in range(n))]
+        vals = spark.createDataFrame([(v,) for v in values], "value STRING")
+        done = redact.redact(df, vals, ["id"], "text").collect()
+        seen.append({r.id: (r.redacted, r.modified) for r in done})
+    assert seen[0] == seen[1] == seen[2]
+    assert seen[0] == {
+        1: (f"password={MARK}", True), None: (f"x={MARK} {MARK}", True),
+        3: (f"ab{MARK}", True), 4: (None, False),
+    }
 
 
 def test_only_named_files(spark):
@@ -128,9 +147,9 @@ def test_only_named_files(spark):
         [(1, "a", "pw=value123"), (2, "b", "pw=value123"), (3, "c", "value123" + "x" * 2_000_000)],
         "id INT, file STRING, text STRING")
     found = spark.createDataFrame([("a", "value123"), ("c", "value123")], "file STRING, value STRING")
-    rows = redact.redact_files(files, found, ["id"], "text").collect()
+    rows = redact.redact_files(files, found, ["id"], "text", max_bytes=1 << 20).collect()
     assert [(r.id, r.redacted) for r in rows] == [(1, f"pw={MARK}")]
-    rows = redact.redact_files(files, found, ["id"], "text", max_bytes=None).collect()
+    rows = redact.redact_files(files, found, ["id"], "text").collect()
     assert sorted(r.id for r in rows if r.modified) == [1, 3]
     assert redact.redact_files(files, found.limit(0), ["id"], "text").count() == 0
 

@@ -120,15 +120,18 @@ def test_files(spark, tmp_path):
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(data)
-    df = read_file_lines(spark, str(root), R)
+    every = read_file_lines(spark, str(root), R)
+    assert every.where("line = 'password=toolarge'").count() == 1
+    df = read_file_lines(spark, str(root), R, max_bytes=1 << 20)
     got = sorted((r.file, r.line) for r in df.where("line LIKE '%=%'").collect())
     assert got == [
         ("app.env", "password=abc1"), ("app.env", "pwd=abc2"),
         ("dir with space/x.cfg", "token=é"), ("edge.cfg", "password=edge"),
     ]
-    texts = {r.file: r.text for r in read_file_texts(spark, str(root)).collect()}
+    texts = {r.file: r.text for r in read_file_texts(spark, str(root), 1 << 20).collect()}
     assert texts["app.env"] == "password=abc1\r\npwd=abc2\n"
     assert ".git/config" not in texts and "big.cfg" not in texts and "notes.md" in texts
+    assert read_file_texts(spark, str(root)).where("file = 'big.cfg'").count() == 1
 
 
 def test_findings_with_bad_lines(spark, tmp_path):

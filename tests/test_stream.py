@@ -81,3 +81,16 @@ def test_current_and_history_in_one_stream(spark, folders, tmp_path):
     streams.write_findings_stream(both, folders["out"], folders["state"]).awaitTermination()
     rows = spark.read.schema(STREAM_SCHEMA).json(folders["out"]).collect()
     assert sorted((r.file, r.value) for r in rows) == [("x.env", "abc"), ("y.env", "live1")]
+
+
+def test_days_do_not_depend_on_the_number_of_triggers(spark):
+    from credtrail import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    lines = queries.commit_lines(spark, sf_dir).repartition(6)
+    path = queries.new_path(spark, "lines")
+    lines.withColumn("date", F.col("date").cast("timestamp")).write.parquet(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    stream = reader.option("maxFilesPerTrigger", 1).parquet(path)
+    got = {tuple(r) for r in queries.days_of(spark, streams.history_stream(stream)).collect()}
+    assert got == {tuple(r) for r in queries.stream_days(spark, sf_dir).collect()}
