@@ -28,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credtrail.llm.common import Cached, extended
 
-MAX_STATES = 50_000
+MAX_STATES = 150_000
 #: Words whose tokens are remembered, by each Python worker.
 MAX_WORDS = 200_000
 
@@ -62,14 +63,18 @@ class Transducer:
 
     def merged(self, word: bytes) -> list[bytes]:
         """By the definition: again and again the leftmost pair of lowest rank."""
+        rank, none = self.ranks.get, len(self.ranks) + 1
         parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            ranked = [(self.ranks.get(a + b), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
-            best = min((x for x in ranked if x[0] is not None), default=None)
-            if best is None:
-                break
-            i = best[1]
+        ranked = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
+        while ranked and (best := min(ranked)) != none:
+            i = ranked.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            # Only the pairs on both sides of the new part change.
+            del ranked[i]
+            if i:
+                ranked[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(ranked):
+                ranked[i] = rank(parts[i] + parts[i + 1], none)
         return parts
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[bytes, ...]]:
@@ -84,8 +89,8 @@ class Transducer:
         if ends is None:
             raise ValueError(f"byte {byte} is not in the vocabulary")
         live.append((b"", ends))
-        shared = 0
-        while all(len(p) > shared + 1 for _, p in live) and len({p[shared] for _, p in live}) == 1:
+        shared, most = 0, min(len(p) for _, p in live) - 1
+        while shared < most and all(p[shared] == ends[shared] for _, p in live):
             shared += 1
         # The last shared token stays: whether the next one may follow depends on it.
         out = live[0][1][:shared]
@@ -147,6 +152,12 @@ class Utf8Stream:
         return text
 
 
+def _text(raw: bytes, piece: int = 4096) -> str:
+    stream = Utf8Stream()
+    found = [stream.feed(raw[i : i + piece]) for i in range(0, len(raw), piece)]
+    return "".join([*found, stream.end()])
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
     """Add ``ids`` (array of int) to the columns; a column of that name is replaced.
     ``ranks`` has the size of a vocabulary file and goes to the workers once."""
@@ -171,18 +182,25 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], as_text: bool = False) -> D
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {v: k for k, v in shared.value.items()}
+        # Token i of the column has id i; taking tokens puts their bytes in a row.
+        words, most = shared.value, max(shared.value.values(), default=-1) + 1
+        known = [None] * most
+        for token, i in words.items():
+            known[i] = token
+        known = pa.array(known, pa.large_binary())
         for part in parts:
-            column, out = part.column("ids"), []
-            for row in column.to_pylist():
-                pieces = list(map(table.__getitem__, row or ()))
-                if as_text:
-                    stream = Utf8Stream()
-                    blocks = (b"".join(pieces[i : i + 512]) for i in range(0, len(pieces), 512))
-                    out.append("".join([*map(stream.feed, blocks), stream.end()]))
-                else:
-                    out.append(b"".join(pieces))
-            yield _with(part, "decoded", pa.array(out, pa.string() if as_text else pa.binary()))
+            column = part.column("ids")
+            taken = known.take(column.flatten().cast(pa.int64()))
+            if taken.null_count:
+                raise ValueError("an id is not in the vocabulary")
+            places = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+            data = taken.buffers()[2] or pa.py_buffer(b"")
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            ends = places[np.cumsum(np.append(0, sizes))]
+            flat = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(ends), data])
+            if as_text:
+                flat = pa.array(map(_text, flat.to_pylist()), pa.string())
+            yield _with(part, "decoded", flat.cast(pa.string() if as_text else pa.binary()))
 
     kind = "string" if as_text else "binary"
     return docs.mapInArrow(run, extended(docs, f"decoded {kind}"))
