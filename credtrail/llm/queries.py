@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credtrail.llm import bpe, chat, langid, ngram_join, permutation, pii, repeats, reshard, tiling, warc
+from credtrail.llm import (
+    bpe, chat, divergence, langid, line_index, merkle, ngram_join, permutation, pii, repeats, reshard, tiling, warc,
+)
 from credtrail.llm.common import table, written
+from credtrail.llm.oracle import LLM_ORACLE as LLM_ORACLE
 from credtrail.plans.storage import new_path
 
 CONTROL_TEXT = r"\### Assistant: </turn> ok"
@@ -98,11 +101,38 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_id_digest(decoded)
 
 
+def op11_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that a document of smaller id holds as well."""
+    kept = line_index.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for every document, tried on a copy in which some are changed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    # One more in a type that no count outgrows.
+    more = [F.col(c).cast("decimal(20,0)") + 1 if c == "n_chars" else F.col(c) for c in fields]
+    changed = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    own = [F.col(c) for c in fields]
+    presented = F.when(changed, merkle.row_hash(more)).otherwise(merkle.row_hash(own))
+    rows = merkle.proofs(merkle.manifest(docs, own, presented=presented))
+    return rows.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and their own terms."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_ngram_jaccard, op3_language, op4_reshard, op5_prefix_targets,
         op6_permutation_index, op7_string_tiling, op8_repeats, op9_pii, op10_byte_bpe,
+        op11_line_index, op12_merkle_manifest, op13_source_divergence,
     )
 }
-LLM_ORACLE: dict[str, str] = {}
