@@ -19,16 +19,18 @@ Other columns pass through, but for ``kept``, ``n_lines`` and ``n_dropped``, whi
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credtrail.llm.common import batches, extended, mixed, to_batch, written
+from credtrail.llm.common import PASS_BYTES, batches, extended, mixed, to_batch, written
 
 #: Shorter keys, in code points, are never dropped.
 LEAST_POINTS = 10
@@ -219,18 +221,33 @@ def deduplicated(
     return _with_routed(docs, index, n_shards, least, probes)
 
 
-def _rows_kept(batch: pa.RecordBatch, names: list[str], least: int, dropped: Callable) -> pa.RecordBatch:
-    """``names`` are the columns that stay; ``dropped(row, digests)`` tells which lines of a row go."""
-    kept, n_lines, n_dropped = [], [], []
-    for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-        lines = (text or b"").split(b"\n")
-        gone = dropped(i, digests(lines, least))
-        kept.append(b"\n".join([x for x, out in zip(lines, gone) if not out]) if any(gone) else b"\n".join(lines))
-        n_lines.append(len(lines))
-        n_dropped.append(sum(gone))
-    columns = [batch.column(n) for n in names]
-    columns += [pa.array(kept, pa.binary()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, [*names, "kept", "n_lines", "n_dropped"])
+def _rows_kept(batch: pa.RecordBatch, names: list[str], least: int, gone_of: Callable) -> Iterator[pa.RecordBatch]:
+    """Some megabytes of text at a time. ``names`` are the columns that stay; ``gone_of(batch, rows,
+    digests)`` tells which of the lines go, ``rows`` being the places of their documents."""
+    texts = batch.column("text").cast(pa.binary())
+    piece = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy() + 64) // PASS_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(cuts, cuts[1:]):
+        part = batch.slice(start, end - start)
+        kept = [t or b"" for t in texts.slice(start, end - start).to_pylist()]
+        n_lines, rows, places, found = [], [], [], []
+        for i, text in enumerate(kept):
+            lines = text.split(b"\n")
+            n_lines.append(len(lines))
+            for j, digest in enumerate(digests(lines, least)):
+                if digest:
+                    rows.append(i)
+                    places.append(j)
+                    found.append(digest)
+        dropped = defaultdict(set)
+        for k in np.flatnonzero(gone_of(part, rows, found)).tolist() if found else ():
+            dropped[rows[k]].add(places[k])
+        for i, gone in dropped.items():
+            kept[i] = b"\n".join([x for j, x in enumerate(kept[i].split(b"\n")) if j not in gone])
+        n_dropped = [len(dropped[i]) if i in dropped else 0 for i in range(len(kept))]
+        columns = [part.column(n) for n in names]
+        columns += [pa.array(kept, pa.binary()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, [*names, "kept", "n_lines", "n_dropped"])
 
 
 def _free_name(name: str, df: DataFrame) -> str:
@@ -262,24 +279,24 @@ def _with_carried(docs: DataFrame, index: DataFrame, n_shards: int, least: int)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = {k: Shard(*v) for k, v in carried.value.items()}
+
+        def gone_of(batch: pa.RecordBatch, rows: list[int], found: list[bytes]) -> np.ndarray:
+            ids = batch.column("doc_id").cast(pa.int64())
+            no_id = ids.is_null().to_numpy(zero_copy_only=False)[rows]
+            own, keys = ids.fill_null(0).to_numpy()[rows], as_numbers(found)
+            gone = np.zeros(len(keys), bool)
+            of = shard_of(keys, n_shards)
+            by_shard = np.argsort(of, kind="stable")
+            for s, shard in shards.items():
+                a, b = np.searchsorted(of, [s, s + 1], sorter=by_shard)
+                mine = by_shard[a:b]
+                if len(mine):
+                    known, owner = shard.owner_of(keys[mine])
+                    gone[mine] = known & (no_id[mine] | (owner != own[mine]))
+            return gone
+
         for batch in parts:
-            ids = batch.column("doc_id").to_pylist()
-
-            def dropped(i: int, found: list[bytes | None]) -> list[bool]:
-                gone = [False] * len(found)
-                places = [j for j, d in enumerate(found) if d]
-                if not places or not shards:
-                    return gone
-                keys = as_numbers([found[j] for j in places])
-                of = shard_of(keys, n_shards)
-                for s in set(of.tolist()) & shards.keys():
-                    mine = np.flatnonzero(of == s)
-                    known, owner = shards[s].owner_of(keys[mine])
-                    for j in mine[known if ids[i] is None else known & (owner != ids[i])].tolist():
-                        gone[places[j]] = True
-                return gone
-
-            yield _rows_kept(batch, names, least, dropped)
+            yield from _rows_kept(batch, names, least, gone_of)
 
     return _as_text(docs.mapInArrow(run, extended(docs, _ADDED)))
 
@@ -317,8 +334,11 @@ def _with_routed(docs: DataFrame, index: DataFrame, n_shards: int, least: int, p
     names = _staying(docs)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        def gone_of(batch: pa.RecordBatch, rows: list[int], found: list[bytes]) -> np.ndarray:
             lists = [set(x or ()) for x in batch.column(gone).to_pylist()]
-            yield _rows_kept(batch, names, least, lambda i, found: [d is not None and d in lists[i] for d in found])
+            return np.array([d in lists[i] for i, d in zip(rows, found)])
+
+        for batch in parts:
+            yield from _rows_kept(batch, names, least, gone_of)
 
     return _as_text(joined.mapInArrow(run, extended(docs, _ADDED)))
