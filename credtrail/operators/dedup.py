@@ -11,12 +11,13 @@ from credtrail.operators.scan import secret_keys
 
 def first_findings(found: DataFrame) -> DataFrame:
     """Keep the first finding per secret and value: current files before
-    history (``src_rank``, if present), then keyword order, then log order.
+    history (``src_rank``, if present), then keyword order, then log order (``seq``
+    counts in a log file, so ``path`` comes before it, if present).
 
     An aggregate, so repeats of a hot value collapse before the shuffle.
     """
     keys = [*secret_keys(found), "value"]
-    order = [c for c in ("src_rank", "kw_first", "seq") if c in found.columns]
+    order = [c for c in ("src_rank", "kw_first", "path", "seq") if c in found.columns]
     rest = [c for c in found.columns if c not in keys]
     best = F.min(F.struct(*order, F.struct(*rest).alias("_row"))).alias("_best")
     return found.groupBy(*keys).agg(best).select(*keys, "_best._row.*")

@@ -19,7 +19,7 @@ from credtrail.operators.aggregate import detect_source
 from credtrail.operators.dedup import distinct_files, usable_values
 from credtrail.plans.ranking import numbered
 from credtrail.plans.sizing import BROADCAST_BYTES, broadcast_if_small, byte_size
-from credtrail.plans.storage import materialized
+from credtrail.plans.storage import materialized, stored
 
 # Fixed value: what a secret is replaced by.
 REMOVED = "***REMOVED***"
@@ -34,12 +34,9 @@ ANCHOR = 8
 # From so many pieces at the end of a value its anchor is chosen.
 ANCHORS_TRIED = 8
 
-# Stands for the replacement while a text is folded. Noncharacters of Unicode, so no
-# value holds them, and none can match across or inside a replacement.
-MARK = "\uFDD0\uFDD1"
-
-# So many values fit in the regex alternations of one plan; more are refused.
-PATTERN_VALUES = 1000
+# The sieve in front of the join has this many bits per anchor, in so many longs at most.
+SIEVE_BITS = 16
+SIEVE_LONGS = 1 << 17
 
 
 def pieces(text: Column, length: int, word: bool) -> Column:
@@ -75,32 +72,53 @@ def anchors(values: DataFrame) -> DataFrame:
     return rated.groupBy("value", "word", "size").agg(rarest.alias("anchor"))
 
 
-def _offers(texts: DataFrame, table: DataFrame, key: list[str], text: str) -> list[tuple]:
-    """``(pieces of the lines, anchors of that kind)``, for each kind of anchor.
+def _sieve(table: DataFrame) -> tuple[Column, int]:
+    """A bit table of the anchors, as a subquery of one row, and its number of longs.
+
+    A piece whose bit is not set is no anchor. The table has a fixed upper size; with more
+    anchors than it is made for it lets more pieces pass."""
+    longs = 16
+    while longs < SIEVE_LONGS and longs * 64 < SIEVE_BITS * table.count():
+        longs *= 2
+    place = _place(F.col("anchor"), longs)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))
+    set_bits = table.groupBy(F.floor(place / 64).alias("id")).agg(F.bit_or(bit).alias("_bits"))
+    words = table.sparkSession.range(longs).join(set_bits, "id", "left")
+    listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("_bits", F.lit(0)).alias("bits"))))
+    return words.agg(F.transform(listed, lambda w: w["bits"])).scalar(), longs
+
+
+def _place(piece: Column, longs: int) -> Column:
+    return F.pmod(F.xxhash64(piece), F.lit(longs * 64))
+
+
+def _passes(piece: Column, bits: Column, longs: int) -> Column:
+    place = _place(piece, longs)
+    word = F.get(bits, F.floor(place / 64).cast("int"))
+    return F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
+def _offers(texts: DataFrame, table: DataFrame, key: list[str], text: str) -> DataFrame | None:
+    """``(*key, _line, anchor)``: the pieces of the texts that may be anchors, in one pass.
 
     Values have no line ends (they come from lines), so texts are cut into lines,
     which keeps the pieces of one row few; if some value has one, the whole text
-    is taken at once.
+    is taken at once. A piece tells by itself which kind of anchor it can be: its length, and
+    eight word characters occur in values of the word kind only.
     """
-    kinds = [(r["word"], r["size"]) for r in table.select("word", "size").distinct().collect()]
+    kinds = {(r["word"], r["size"]) for r in table.select("word", "size").distinct().collect()}
     if not kinds:
-        return []
+        return None
+    if (False, ANCHOR) in kinds:
+        kinds.discard((True, ANCHOR))  # all pieces of that length hold those too
     whole = table.where(F.col("value").contains("\n")).limit(1).count() > 0
     units = F.array(F.col(text)) if whole else F.split(F.col(text), "\n")
     lines = texts.select(*key, F.explode(units).alias("_line"))
     # No value can be in a line shorter than the shortest one.
     lines = lines.where(F.length("_line") >= min(size for _, size in kinds))
-    return [
-        (
-            lines.select(
-                *key, "_line", F.explode(pieces(F.col("_line"), size, word)).alias("anchor")
-            ),
-            table.where((F.col("word") == word) & (F.col("size") == size)).select(
-                "anchor", "value"
-            ),
-        )
-        for word, size in sorted(kinds)
-    ]
+    offered = [pieces(F.col("_line"), size, word) for word, size in sorted(kinds)]
+    each = lines.select(*key, "_line", F.explode(F.concat(*offered)).alias("anchor"))
+    return each.where(_passes(F.col("anchor"), *_sieve(table)))
 
 
 def candidates(
@@ -110,20 +128,22 @@ def candidates(
     is exactly those. ``key`` must be unique.
 
     With anchors small enough to broadcast, texts stay where they are and each
-    line is checked at once. Otherwise keys and pieces are shuffled, without the
-    text, and a pair only says that the anchor is there.
+    line is checked at once. Otherwise keys and the pieces that pass the sieve are shuffled,
+    without the text, and a pair only says that the anchor is there.
     """
-    table = materialized(anchors(values))
+    table = stored(anchors(values), "anchors")
     small = byte_size(table) <= BROADCAST_BYTES
-    pairs = texts.select(*key, F.lit("").alias("value")).where(F.lit(False))
-    for offers, looked_up in _offers(texts, table, key, text):
-        if small:
-            met = offers.join(F.broadcast(looked_up), "anchor")
-            met = met.where(F.col("_line").contains(F.col("value")))
-        else:
-            met = offers.select(*key, "anchor").distinct().join(looked_up, "anchor")
-        pairs = pairs.unionByName(met.select(*key, "value"))
-    return pairs.distinct(), small
+    offers = _offers(texts, table, key, text)
+    if offers is None:
+        none = texts.select(*key, F.lit("").alias("value")).where(F.lit(False))
+        return none, True
+    looked_up = table.select("anchor", "value")
+    if small:
+        met = offers.join(F.broadcast(looked_up), "anchor")
+        met = met.where(F.col("_line").contains(F.col("value")))
+    else:
+        met = offers.select(*key, "anchor").distinct().join(looked_up, "anchor")
+    return met.select(*key, "value").distinct(), small
 
 
 def find_values(texts: DataFrame, values: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -137,12 +157,42 @@ def find_values(texts: DataFrame, values: DataFrame, key: list[str], text: str)
 
 def fold(text: Column, values: Column, replacement: str = REMOVED) -> Column:
     """Replace the values of an array one after the other, longest first. A value
-    that is not in the text changes nothing, so candidates give the same result."""
+    that is not in the text changes nothing, so candidates give the same result.
+
+    Each value cuts the pieces that the values before have left, and the replacement comes in
+    between at the end: no value can match across it or inside it, whatever the text holds."""
     ordered = F.array_sort(
-        F.transform(values, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))
+        F.transform(values, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v"), quote_regex(v).alias("q")))
+    )
+
+    def cut(parts: Column, v: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda part: F.split(part, v["q"], -1)))
+
+    return F.array_join(F.aggregate(ordered, F.array(text), cut), replacement)
+
+
+def _with_lists(texts: DataFrame, lists: DataFrame, key: list[str]) -> DataFrame:
+    """``texts`` with the column ``_list`` of ``lists (*key, _list, _bytes)``, null where a text has none.
+
+    What was found is small next to the texts. If measured so, it is broadcast
+    and the texts are not shuffled at all."""
+    names = {k: f"_f_{k}" for k in key}
+    right = lists.withColumnsRenamed(names)
+    size = lists.agg(F.coalesce(F.sum(F.col("_bytes") + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        right = F.broadcast(right)
+    same = None
+    for k, renamed in names.items():
+        test = F.col(k).eqNullSafe(F.col(renamed))
+        same = test if same is None else same & test
+    return texts.join(right, same, "left").select(*texts.columns, "_list")
+
+
+def _replaced(texts: DataFrame, listed: DataFrame, text: str, done: Column) -> DataFrame:
+    done = F.when(F.col("_list").isNull(), F.col(text)).otherwise(done)
+    return listed.select(*texts.columns, done.alias("redacted")).withColumn(
+        "modified", ~F.col("redacted").eqNullSafe(F.col(text))
     )
-    marked = F.aggregate(ordered, text, lambda done, v: F.replace(done, v["v"], F.lit(MARK)))
-    return F.replace(marked, F.lit(MARK), F.lit(replacement))
 
 
 def redact_by_anchor(
@@ -152,32 +202,14 @@ def redact_by_anchor(
     text: str,
     replacement: str = REMOVED,
 ) -> DataFrame:
-    """Add ``redacted`` and ``modified``, for any number of values.
-
-    What was found is small next to the texts. If measured so, it is broadcast
-    and the texts are not shuffled at all.
-    """
+    """Add ``redacted`` and ``modified``, for any number of values."""
     # Replacing a value that is not there changes nothing, so candidates will do.
     # One group holds values of one text, which bounds them.
-    lists = candidates(texts, values, key, text)[0].groupBy(*key)
-    found = materialized(lists.agg(F.collect_set("value").alias("_values")))
-    names = {k: f"_f_{k}" for k in key}
-    flat = found.withColumn("_bytes", F.array_join("_values", ""))
-    right = found.withColumnsRenamed(names)
-    if byte_size(flat) <= BROADCAST_BYTES:
-        right = F.broadcast(right)
-    same = None
-    for k, renamed in names.items():
-        test = F.col(k).eqNullSafe(F.col(renamed))
-        same = test if same is None else same & test
-    done = F.when(
-        F.col("_values").isNull(), F.col(text)
-    ).otherwise(fold(F.col(text), F.col("_values"), replacement))
-    return (
-        texts.join(right, same, "left")
-        .select(*texts.columns, done.alias("redacted"))
-        .withColumn("modified", ~F.col("redacted").eqNullSafe(F.col(text)))
+    lists = candidates(texts, values, key, text)[0].groupBy(*key).agg(
+        F.collect_set("value").alias("_list"), F.sum(F.octet_length("value")).alias("_bytes")
     )
+    listed = _with_lists(texts, stored(lists, "found"), key)
+    return _replaced(texts, listed, text, fold(F.col(text), F.col("_list"), replacement))
 
 
 def redact(
@@ -222,23 +254,53 @@ def redact_by_pattern(
     text: str,
     replacement: str = REMOVED,
 ) -> DataFrame:
-    """The other kernel: one regex replacement per pattern batch.
+    """The other kernel: one regex replacement per pattern batch, for any number of values.
 
     Text put in by an earlier batch can be hit by a later one, text inside a
-    batch cannot, and overlapping values give another result than :func:`redact`.
-    More than ``PATTERN_VALUES`` values are an error. The values stand in the plan.
+    batch cannot, and overlapping values give another result than :func:`redact`. Each text
+    meets only the part of a batch that can match there: the values it may hold, and
+    those that a replacement could complete (rare; they are tried on every text that changes).
     """
-    values = materialized(values)
-    if values.limit(PATTERN_VALUES + 1).count() > PATTERN_VALUES:
-        raise ValueError(f"more than {PATTERN_VALUES} values: use redact")
-    batches = pattern_batches(values).select("batch", "guard", "pattern").orderBy("batch")
-    done = F.col(text)
-    with_dollar = replacement.replace("\\", "\\\\").replace("$", "\\$")
-    for r in batches.collect():
-        done = F.regexp_replace(done, r["guard"] + r["pattern"], with_dollar)
-    return texts.withColumn("redacted", done).withColumn(
-        "modified", F.col("redacted") != F.col(text)
+    placed = numbered(
+        values.withColumn("_length", F.length("value")),
+        [F.col("_length").desc(), F.col("value").asc()],
+    )
+    entry = F.struct(
+        F.floor((F.col("position") - 1) / F.lit(BATCH_SIZE)).alias("batch"), "position", quote_regex(F.col("value")).alias("q")
+    )
+    placed = stored(placed.select("value", entry.alias("_entry")), "placed-values")
+    found = candidates(texts, values, key, text)[0].join(placed, "value")
+    lists = found.groupBy(*key).agg(
+        F.collect_list("_entry").alias("_list"), F.sum(F.octet_length("value")).alias("_bytes")
+    )
+    later = placed.where(_can_complete(F.col("value"), replacement))
+    more = later.agg(F.collect_list("_entry").alias("e"), F.sum(F.octet_length("value")).alias("n"))
+    lists = lists.select(
+        *key,
+        F.concat("_list", more.select("e").scalar()).alias("_list"),
+        (F.col("_bytes") + F.coalesce(more.select("n").scalar(), F.lit(0))).alias("_bytes"),
+    )
+    listed = _with_lists(texts, stored(lists, "found"), key)
+    entries = F.array_sort(F.array_distinct("_list"))
+    patterns = F.transform(
+        F.array_distinct(F.transform(entries, lambda e: e["batch"])),
+        lambda b: F.array_join(
+            F.transform(F.filter(entries, lambda e: e["batch"] == b), lambda e: e["q"]), "|"
+        ),
     )
+    with_dollar = F.lit(replacement.replace("\\", "\\\\").replace("$", "\\$"))
+    done = F.aggregate(patterns, F.col(text), lambda t, p: F.regexp_replace(t, p, with_dollar))
+    return _replaced(texts, listed, text, done)
+
+
+def _can_complete(value: Column, replacement: str) -> Column:
+    """Whether a value can match text of which a replacement is a part."""
+    if not replacement:
+        return F.lit(True)  # what stood apart comes together
+    test = F.lit(replacement).contains(value) | value.contains(replacement)
+    for n in range(1, len(replacement)):
+        test = test | value.startswith(replacement[-n:]) | value.endswith(replacement[:n])
+    return test
 
 
 def _guard(values: Column, size: int = 4) -> Column:

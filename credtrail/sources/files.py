@@ -9,9 +9,11 @@ from credtrail.functions.files import is_scanned_file
 from credtrail.rules import Rules, default_rules
 
 
-def relative_path(path: Column, root: str) -> Column:
-    """The part of a file URI below ``root``."""
-    tail = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
+def relative_path(uri: Column, root: str) -> Column:
+    """The part of a file URI below ``root``. The URI writes blanks and other characters in
+    code; ``root`` is plain, and a plus sign is one in both."""
+    path = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    tail = "/" + root.split(":", 1)[-1].strip("/") + "/"
     return F.substr(path, F.locate(tail, path) + F.lit(len(tail)))
 
 
@@ -29,7 +31,7 @@ def read_file_lines(
     rules = rules or default_rules()
     raw = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(root)
     lines = raw.select(
-        F.url_decode(relative_path(F.col("_metadata.file_path"), root)).alias("file"),
+        relative_path(F.col("_metadata.file_path"), root).alias("file"),
         F.col("_metadata.file_size").alias("size"),
         F.regexp_replace("value", r"\r\z", "").alias("line"),
     )
@@ -47,7 +49,7 @@ def read_file_texts(
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     small = raw if max_bytes is None else raw.where(F.col("length") <= max_bytes)
     texts = small.select(
-        F.url_decode(relative_path(F.col("path"), root)).alias("file"),
+        relative_path(F.col("_metadata.file_path"), root).alias("file"),
         F.col("length").alias("size"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
     )

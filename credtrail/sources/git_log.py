@@ -3,9 +3,9 @@
 The text is read line by line, so a commit or a file of any size spreads over
 many tasks. Each line belongs to the last commit header and the last file header
 before it. Within a split of the input these are carried along as Arrow batches
-pass by; lines before the first header of a split take them from the splits
-before. A first pass, with the text of the headers only, collects those: one row
-per split.
+pass by, and the result is written once, with one more row per split: the headers that
+it ends with. Lines before the first header of a split take theirs from these rows. Both
+come from the same read, so they agree on the splits whatever the settings of a later job.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from credtrail.functions.dates import instant
 from credtrail.functions.files import is_scanned_file
 from credtrail.functions.keywords import has_any_keyword, may_match
 from credtrail.plans.sizing import BROADCAST_BYTES, byte_size
-from credtrail.plans.storage import materialized
+from credtrail.plans.storage import stored
 from credtrail.rules import Rules
 
 # Fixed value: how a commit header starts, in full and in stream mode.
@@ -149,21 +149,23 @@ def read_git_log(
         wanted = may_match(F.col("line"), rules) & has_any_keyword(F.col("line"), rules)
         lines = lines.where((F.col("kind") != "change") | wanted)
 
+    carried = lines.mapInArrow(_carry, CARRIED).where(F.col("kind").isin("change", "end"))
+    carried = stored(carried, "log-lines")
+    # One row per split.
     before = Window.partitionBy("path").orderBy("block")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
-    # Every block takes part, but only headers bring their text.
-    heads = lines.withColumn("line", F.when(F.col("kind") != "change", F.col("line")))
-    ends = heads.mapInArrow(_carry, CARRIED)
-    incoming = materialized(
-        ends.where(F.col("kind") == "end").select(
+    incoming = stored(
+        carried.where(F.col("kind") == "end").select(
             "path",
             "block",
             F.last("header", True).over(before).alias("_in_header"),
             F.last("file_line", True).over(before).alias("_in_file"),
-        )
+            F.lit(True).alias("_known"),
+        ),
+        "log-splits",
     )
-    changes = lines.mapInArrow(_carry, CARRIED).where(F.col("kind") == "change")
-    placed = _with_incoming(changes.drop("kind"), incoming)
+    changes = carried.where(F.col("kind") == "change").drop("kind")
+    placed = _with_incoming(changes, incoming)
     placed = placed.where(F.col("header").isNotNull() & (F.col("file_line") != ""))
 
     fields = F.split(F.col("header"), r"\|", 4)
@@ -187,14 +189,16 @@ def read_git_log(
 
 
 def _with_incoming(changes: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Fill the headers that a block takes from the blocks before."""
+    """Fill the headers that a block takes from the blocks before. A block without its row
+    in ``incoming`` is an error: its lines would vanish."""
 
     def filled(rows: DataFrame, side: DataFrame) -> DataFrame:
+        lost = F.raise_error(F.concat(F.lit("no headers for a block of "), "path"))
         return (
             rows.join(side, ["path", "block"], "left")
             .withColumn("file_line", F.coalesce("file_line", "_in_file"))
-            .withColumn("header", F.coalesce("header", "_in_header"))
-            .drop("_in_header", "_in_file")
+            .withColumn("header", F.when(F.col("_known"), F.coalesce("header", "_in_header")).otherwise(lost.cast("string")))
+            .drop("_in_header", "_in_file", "_known")
         )
 
     if byte_size(incoming) <= BROADCAST_BYTES:

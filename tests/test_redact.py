@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,14 +116,6 @@ def test_pattern_kernel(spark):
     assert got == {i: re.sub(pattern, MARK, t) for i, t in texts}
 
 
-def test_too_many_values_are_refused_by_the_pattern_kernel(spark, monkeypatch):
-    monkeypatch.setattr(redact, "PATTERN_VALUES", 5)
-    df = spark.createDataFrame([(1, "a value3 b")], "id INT, text STRING")
-    vals = spark.createDataFrame([(f"value{i}",) for i in range(8)], "value STRING")
-    with pytest.raises(ValueError):
-        redact.redact_by_pattern(df, vals, ["id"], "text")
-
-
 @pytest.mark.parametrize("limit", [redact.BROADCAST_BYTES, 0])
 def test_one_meaning_for_any_number_of_values(spark, monkeypatch, limit):
     monkeypatch.setattr(redact, "BROADCAST_BYTES", limit)
@@ -189,3 +182,74 @@ def test_written_to_a_new_path(spark, tmp_path):
     assert spark.read.parquet(path).first().text == f"pw={MARK}"
     with pytest.raises(Exception, match="exist"):
         write_redacted(redact.redact(df, vals, ["id"], "text"), path, "text")
+
+
+def test_marks_and_replacements_in_the_text(spark):
+    """Whatever a text holds already, a fold replaces what was there at first."""
+    texts = [(1, "x \ufdd0\ufdd1 y password=abcdef"), (2, MARK + "abcdef" + MARK), (3, "abcABCDEFdef"), (4, None)]
+    values = ["abcdef", "ABCDEF", "MOVE", "***"]
+    df = spark.createDataFrame(texts, "id INT, text STRING")
+    vals = spark.createDataFrame([(v,) for v in values], "value STRING")
+    got = {r.id: (r.redacted, r.modified) for r in redact.redact(df, vals, ["id"], "text").collect()}
+    assert got[1] == (f"x \ufdd0\ufdd1 y password={MARK}", True)
+    assert got[2] == ((f"{MARK}RE{MARK}D{MARK}") + MARK + (f"{MARK}RE{MARK}D{MARK}"), True)
+    assert got[3] == (f"abc{MARK}def", True) and got[4] == (None, False)
+
+
+def by_pattern(text, values, size, replacement=MARK):
+    ordered = sorted(set(values), key=lambda v: (-len(v), v))
+    for i in range(0, len(ordered), size):
+        text = re.sub("|".join(map(re.escape, ordered[i : i + size])), lambda m: replacement, text)
+    return text
+
+
+@pytest.mark.parametrize("limit", [sizing.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("replacement", [MARK, "$1\\x", "ab", ""])
+def test_pattern_kernel_with_many_values(spark, monkeypatch, limit, replacement):
+    """More than a thousand values, batches of all lengths, values that a replacement completes."""
+    monkeypatch.setattr(redact, "BROADCAST_BYTES", limit)
+    random.seed(12)
+    values = ["".join(random.choices("ab*$x1", k=random.randint(3, 9))) for _ in range(1500)]
+    values = sorted({*values, "***x", "MOV", "xab", "b$1"})
+    texts = [(i, "".join(random.choices(["z", "b", "a ", *random.sample(values, 4)], k=14))) for i in range(60)]
+    texts += [(100, "nothing"), (101, "")]
+    df = spark.createDataFrame([*texts, (102, None)], "id INT, text STRING")
+    vals = spark.createDataFrame([(v,) for v in values], "value STRING")
+    got = {r.id: (r.redacted, r.modified) for r in redact.redact_by_pattern(df, vals, ["id"], "text", replacement).collect()}
+    want = {i: by_pattern(t, values, redact.BATCH_SIZE, replacement) for i, t in texts}
+    assert got == {**{i: (w, w != t) for (i, t), w in zip(texts, want.values())}, 102: (None, False)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_pass_finds_and_one_folds(spark, tmp_path, monkeypatch):
+    """Values of several kinds are looked for in one scan of the texts and one explode of pieces;
+    what is shuffled holds no text."""
+    path = str(tmp_path / "texts")
+    spark.createDataFrame([(i, f"line {i} of words") for i in range(50)], "id INT, text STRING").write.parquet(path)
+    texts = spark.read.parquet(path)
+    values = spark.createDataFrame([("abc",), ("abcd",), ("with a blank",), ("long1234word",)], "value STRING")
+    for limit in (sizing.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(redact, "BROADCAST_BYTES", limit)
+        pairs, _ = redact.candidates(texts, values, ["id"], "text")
+        plan = plan_of(pairs)
+        # lines and pieces: two explodes over one scan of the folder (the anchors are a table).
+        assert plan.count("Generate explode") == 2
+        assert len([x for x in plan.splitlines() if "Scan parquet" in x and "text" in x]) == 1
+        # a piece meets the sieve before any exchange
+        assert not any("Exchange" in x and "_line" in x for x in plan.splitlines())
+    done = redact.redact(texts, values, ["id"], "text")
+    plan = plan_of(done)
+    assert len([x for x in plan.splitlines() if "Scan parquet" in x and "text" in x]) == 1
+
+
+def test_sieve_lets_all_anchors_pass(spark):
+    rows = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("value"))
+    table = redact.anchors(rows)
+    bits, longs = redact._sieve(table)
+    kept = table.withColumn("passes", redact._passes(F.col("anchor"), bits, longs))
+    assert kept.where("passes").count() == 3000
+    other = spark.range(3000, 9000).select(F.md5(F.col("id").cast("string")).substr(1, 8).alias("p"))
+    assert other.where(redact._passes(F.col("p"), bits, longs)).count() < 1200

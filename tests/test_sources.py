@@ -82,6 +82,43 @@ def test_log_cut_anywhere(spark, tmp_path, monkeypatch, size, limit):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_no_line_is_lost_when_splits_change(spark, tmp_path):
+    """Between building and running, the size of splits may be set anew."""
+    out = []
+    for c in range(40):
+        out.append(f"COMMIT|h{c}|dev|2024-01-01T00:00:00Z")
+        out.append("diff --git a/f.env b/f.env")
+        out += [f"+line{c}={i}" for i in range(50)]
+    path = write_log(tmp_path, "\n".join(out) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 4000)
+        lines = read_git_log(spark, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+        got = [tuple(r) for r in lines.orderBy("path", "seq").select("commit", "file", "line").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(f"h{c}", "f.env", f"line{c}={i}") for c in range(40) for i in range(50)]
+
+
+def test_lines_without_their_split_are_an_error(spark):
+    row = ("p", 7, 0, None, None, "+a=b")
+    changes = spark.createDataFrame([row], "path STRING, block BIGINT, at BIGINT, header STRING, file_line STRING, line STRING")
+    none = spark.createDataFrame([], "path STRING, block BIGINT, _in_header STRING, _in_file STRING, _known BOOLEAN")
+    with pytest.raises(Exception, match="no headers for a block of p"):
+        git_log._with_incoming(changes, none).collect()
+
+
+def test_paths_below_odd_roots(spark, tmp_path):
+    root = tmp_path / "a b" / "c+d%20"
+    for name in ("x y.env", "sub/p+q.env", "50%.env"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("password=abc\n")
+    want = {"x y.env", "sub/p+q.env", "50%.env"}
+    assert {r.file for r in read_file_lines(spark, str(root), R).collect()} == want
+    assert {r.file for r in read_file_texts(spark, str(root)).collect()} == want
+
+
 def test_log_with_rules_gives_the_same_findings(spark, tmp_path):
     random.seed(1)
     out = []
