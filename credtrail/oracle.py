@@ -425,6 +425,12 @@ GROUP BY b""",
     lambda acc, x: replace(acc, x, '***REMOVED***')) AS r FROM c)""",
         USABLE,
     ),
+    "redact_overlaps": """WITH w AS (
+  SELECT list(w ORDER BY length(w) DESC, w) AS ws FROM (
+    SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{13,}')) AS w FROM documents))
+SELECT doc_id, sha256(r) AS text_hash, r <> text AS modified FROM (
+  SELECT doc_id, text, list_reduce(list_prepend(text, ws),
+    lambda done, x: replace(done, x, '***REMOVED***')) AS r FROM documents, w)""",
     "redact_documents_fold": _docs(REDACTED_DOCS),
     "redact_documents_anchor": _docs(REDACTED_DOCS),
     "redact_documents_pattern": _docs(REDACTED_DOCS),
@@ -531,7 +537,7 @@ FROM cur GROUP BY file, key, value""",
         "JOIN kw ON contains(lower(line), keyword) GROUP BY grp"
     ),
     "stream_findings": _base(
-        f"SELECT file, key, {SHOWN} FROM (SELECT DISTINCT file, key, value FROM h)"
+        f"SELECT file, key, type, commit, author, date, {SHOWN} FROM et", ENTRIES
     ),
     "stream_current": _base(
         f"SELECT file, key, {SHOWN}, commit, author FROM "
@@ -539,10 +545,21 @@ FROM cur GROUP BY file, key, value""",
         SNAPSHOT,
     ),
     "stream_both": _base(
-        f"SELECT file, key, {SHOWN} FROM (SELECT file, key, value FROM cur "
-        "UNION SELECT file, key, value FROM h)",
+        f"""SELECT file, key, {SHOWN}, commit, author, date, kw.keyword AS type FROM (
+  SELECT *, row_number() OVER (PARTITION BY file, key, value ORDER BY src, kw_first, seq) AS rn
+  FROM (SELECT 0 AS src, file, key, value, kw_first, seq, commit, author, date FROM cur
+        UNION ALL SELECT 1, file, key, value, kw_first, seq, commit, author, date FROM h)) x
+JOIN kw ON kw.kw_idx = x.kw_first WHERE rn = 1""",
         SNAPSHOT,
     ),
+    "stream_counts": _base(
+        " UNION ALL ".join(
+            f"SELECT '{s}' AS section, {s} AS name, count(*) AS count FROM et GROUP BY {s}"
+            for s in ("author", "file", "type", "key")
+        )
+        + " UNION ALL SELECT 'total', '', count(*) FROM et",
+        ENTRIES,
+    ),
     "stream_author_counts": _base(_top("et", "author", False), ENTRIES),
 }
 

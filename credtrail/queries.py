@@ -518,6 +518,15 @@ def redact_named_files(spark, sf_dir):
     return done.select("doc_id", fingerprint(F.col("redacted")).alias("text_hash"), "modified")
 
 
+@query
+def redact_overlaps(spark, sf_dir):
+    """Thousands of values that are parts of each other: all long words of the documents."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{13,}"), F.lit(0))).alias("value"))
+    done = redact.redact(docs, words.distinct(), ["doc_id"], "text")
+    return done.select("doc_id", fingerprint(F.col("redacted")).alias("text_hash"), "modified")
+
+
 @query
 def redact_summary(spark, sf_dir):
     return redact.redact_summary(_redacted_documents(spark, sf_dir, redact.redact))
@@ -731,13 +740,19 @@ STREAM_SCHEMA = (
     "file STRING, `key` STRING, `value` STRING, type STRING, `commit` STRING, "
     "author STRING, `date` TIMESTAMP, maskedValue STRING"
 )
+CHANGE_SCHEMA = STREAM_SCHEMA + ", version BIGINT"
+
+
+def _first_rows(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """The first finding of each value, as a stream has written it."""
+    changes = _run(streams.least_in_stream(found), spark, "stream")
+    rows = streams.latest_versions(spark.read.schema(CHANGE_SCHEMA).json(changes))
+    return shown(rows.select("file", "key", "value", "type", "commit", "author", "date"))
 
 
 @query
 def stream_findings(spark, sf_dir):
-    found = streams.first_in_stream(streams.history_stream(_line_stream(spark, sf_dir)))
-    rows = spark.read.schema(STREAM_SCHEMA).json(_run(found, spark, "stream"))
-    return shown(rows.select("file", "key", "value"))
+    return _first_rows(spark, streams.history_stream(_line_stream(spark, sf_dir)))
 
 
 @query
@@ -763,10 +778,19 @@ def stream_both(spark, sf_dir):
         streams.history_stream(_line_stream(spark, sf_dir)),
         streams.current_stream(files, F.lit(SCAN_DATE).cast("timestamp")),
     )
-    rows = spark.read.schema(STREAM_SCHEMA).json(
-        _run(streams.first_in_stream(both), spark, "stream")
-    )
-    return shown(rows.select("file", "key", "value"))
+    return _first_rows(spark, both)
+
+
+@query
+def stream_counts(spark, sf_dir):
+    """Findings by author, file, type and key, kept up by batches of a stream."""
+    path, out = new_path(spark, "findings"), new_path(spark, "section-counts")
+    records.write_findings(_entries(spark, sf_dir), path)
+    save = streams.counts_upsert(out, ["author", "file", "type", "key"])
+    writer = streams.read_findings_stream(spark, path).writeStream.foreachBatch(save)
+    writer = writer.option("checkpointLocation", new_path(spark, "section-counts-state"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return streams.read_counts(spark, out)
 
 
 @query
