@@ -29,7 +29,7 @@ def hidden(df: DataFrame, reveal: bool = False) -> DataFrame:
     )
 
 
-def _dates(df: DataFrame) -> list[Column]:
+def date_range(df: DataFrame) -> list[Column]:
     """First and last instant and, if known, their texts with the author's offset.
 
     The texts need a sort-based aggregate, so they are only asked for if there.
@@ -49,14 +49,14 @@ def values(found: DataFrame) -> DataFrame:
         F.count_distinct("commit").alias("commit_count"),
         F.count_distinct("author").alias("author_count"),
         F.min("kw_first").alias("kw_first"),
-        *_dates(found),
+        *date_range(found),
     )
 
 
 def value_commits(found: DataFrame) -> DataFrame:
     """The commits of each value, one row each with its occurrences."""
     keys = [*secret_keys(found), "value", "commit", "author"]
-    return found.groupBy(*keys).agg(F.sum("hits").alias("occurrences"), *_dates(found))
+    return found.groupBy(*keys).agg(F.sum("hits").alias("occurrences"), *date_range(found))
 
 
 def secrets(found: DataFrame, rules: Rules) -> DataFrame:
@@ -69,7 +69,7 @@ def secrets(found: DataFrame, rules: Rules) -> DataFrame:
         F.count_distinct("author").alias("author_count"),
         F.count_distinct("commit").alias("commit_count"),
         F.min("kw_first").alias("kw_first"),
-        *_dates(found),
+        *date_range(found),
     )
     return grouped.withColumn("type", keyword_name(F.col("kw_first"), rules)).drop("kw_first")
 

@@ -86,6 +86,29 @@ def merged_secrets_history_wins(
     return grouped.withColumn("type", keyword_name(F.col("_kw"), rules)).drop("_kw")
 
 
+def merged_summary(current: DataFrame, history: DataFrame, rules: Rules) -> DataFrame:
+    """Totals of the merged scan: a value of both sides counts once."""
+    rows = merged_secrets(current, history, rules)
+    return rows.agg(
+        F.count("*").alias("secrets_found"),
+        F.coalesce(F.sum("change_count"), F.lit(0)).alias("total_values"),
+        F.coalesce(F.sum("total_occurrences"), F.lit(0)).alias("total_occurrences"),
+    )
+
+
+def merged_summary_history_wins(current: DataFrame, history: DataFrame, rules: Rules) -> DataFrame:
+    """Totals when history wins: the values of both scans are added up, also those of secrets
+    that only one of them gives to the result."""
+    rows = merged_secrets_history_wins(current, history, rules)
+    values = merged_values(current, history).agg(
+        (F.count_if("in_current") + F.count_if("in_history")).alias("n")
+    )
+    return rows.agg(
+        F.count("*").alias("secrets_found"),
+        F.coalesce(F.sum("total_occurrences"), F.lit(0)).alias("total_occurrences"),
+    ).select("secrets_found", values.scalar().alias("total_values"), "total_occurrences")
+
+
 def merged_authors(current: DataFrame, history: DataFrame) -> DataFrame:
     """Authors of the merged secrets, one row each."""
     keys = [*secret_keys(history), "author"]

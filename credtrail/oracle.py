@@ -569,3 +569,57 @@ ORACLE["stream_days"] = _base(
 ORACLE["csv_roundtrip"] = (
     'SELECT * EXCLUDE ("Part") FROM (' + ORACLE["secrets_csv_view"] + ")"
 )
+
+ORACLE["csv_parts_roundtrip"] = _base(
+    """SELECT file AS "File", key AS "Key", count(DISTINCT value) AS "ChangeCount",
+  CAST(sum(hits) AS BIGINT) AS "TotalOccurrences", count(DISTINCT author) AS authors,
+  count(DISTINCT value) AS values FROM h GROUP BY file, key"""
+)
+
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
+
+# Values as they are listed: those of the first source, then those that only the second has.
+_LISTED = """lv AS (SELECT 0 AS src, file, key, value, 1 AS n, 'current' AS authors,
+    min(date) AS f, max(date) AS l FROM cur {first} GROUP BY file, key, value
+  UNION ALL SELECT 1, file, key, value, CAST(sum(hits) AS BIGINT),
+    string_agg(DISTINCT author, ',' ORDER BY author), min(date), max(date)
+  FROM h {second} GROUP BY file, key, value),
+la AS (SELECT file, key, count(DISTINCT author) AS authors FROM (
+  SELECT file, key, author FROM cur {first} UNION ALL SELECT file, key, author FROM h) GROUP BY file, key),
+"""
+_NESTED = f"""SELECT lv.file, lv.key, m.type, m.change_count, m.total_occurrences,
+  CAST(la.authors AS INT) AS authors,
+  CAST(row_number() OVER (PARTITION BY lv.file, lv.key ORDER BY src, f, value) - 1 AS INT) AS place, {SHOWN},
+  CAST(n AS INT) AS listed_commits, lv.authors AS value_authors,
+  {_ISO.format('f')} AS first_raw, {_ISO.format('l')} AS last_raw
+FROM lv JOIN la ON la.file = lv.file AND la.key = lv.key
+JOIN (@SECRETS) m ON m.file = lv.file AND m.key = lv.key"""
+_MERGE = _LISTED.format(
+    first="",
+    second="WHERE NOT EXISTS (SELECT 1 FROM cur WHERE cur.file = h.file AND cur.key = h.key AND cur.value = h.value)",
+)
+_WINS = _LISTED.format(
+    first="WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.file = cur.file AND h.key = cur.key)", second=""
+)
+ORACLE["scan_both_nested"] = _base(_NESTED.replace("@SECRETS", MERGED_SECRETS), SNAPSHOT, MERGED, _MERGE)
+ORACLE["scan_both_history_wins_nested"] = _base(_NESTED.replace("@SECRETS", HISTORY_WINS), SNAPSHOT, MERGED, _WINS)
+ORACLE["scan_both_nested_parts"] = _base(
+    "SELECT lv.file, lv.key, count(*) AS values, CAST(sum(n) AS BIGINT) AS listed_commits, "
+    "any_value(la.authors) AS authors, CAST(0 AS BIGINT) AS incomplete "
+    "FROM lv JOIN la ON la.file = lv.file AND la.key = lv.key GROUP BY lv.file, lv.key",
+    SNAPSHOT,
+    _MERGE,
+)
+ORACLE["scan_both_summary"] = _base(
+    "SELECT count(*) AS secrets_found, CAST(sum(change_count) AS BIGINT) AS total_values, "
+    f"CAST(sum(total_occurrences) AS BIGINT) AS total_occurrences FROM ({MERGED_SECRETS})",
+    SNAPSHOT,
+    MERGED,
+)
+ORACLE["scan_both_history_wins_summary"] = _base(
+    "SELECT count(*) AS secrets_found, (SELECT count(*) FROM (SELECT DISTINCT file, key, value FROM cur)) "
+    "+ (SELECT count(*) FROM (SELECT DISTINCT file, key, value FROM h)) AS total_values, "
+    f"CAST(sum(total_occurrences) AS BIGINT) AS total_occurrences FROM ({HISTORY_WINS})",
+    SNAPSHOT,
+    MERGED,
+)

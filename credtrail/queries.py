@@ -437,6 +437,71 @@ def scan_both_authors(spark, sf_dir):
     return rows.groupBy("file", "key").agg(F.count("*").alias("author_count"))
 
 
+def _both_kept(spark, sf_dir):
+    columns = ("author", "commit", "date", "file", "key", "value", "hits", "kw_first")
+    return materialized(current(spark, sf_dir).select(*columns)), kept_history(spark, sf_dir)
+
+
+def _nested_facts(rows: DataFrame) -> DataFrame:
+    """One row per secret and listed value, of a nested result."""
+    each = rows.select(
+        "file", "key", "type", "changeCount", "totalOccurrences", F.size("authors").alias("authors"),
+        F.posexplode("history").alias("place", "h"),
+    )
+    return each.select(
+        "file", "key", "type", F.col("changeCount").alias("change_count"),
+        F.col("totalOccurrences").alias("total_occurrences"), "authors", "place",
+        F.col("h.maskedValue").alias("masked"), fingerprint(F.col("h.value")).alias("value_hash"),
+        F.size("h.commits").alias("listed_commits"), F.array_join("h.authors", ",").alias("value_authors"),
+        F.col("h.firstSeen").alias("first_raw"), F.col("h.lastSeen").alias("last_raw"),
+    )
+
+
+@query
+def scan_both_nested(spark, sf_dir):
+    """The result file of a scan of both sources, written and read, value by value."""
+    path = new_path(spark, "both")
+    records.write_secrets(nested.merged_nested(*_both_kept(spark, sf_dir), default_rules()), path)
+    return _nested_facts(records.read_secrets(spark, path))
+
+
+@query
+def scan_both_nested_parts(spark, sf_dir):
+    """The same in parts of 10 entries: all parts together hold the same values and authors."""
+    path = new_path(spark, "both")
+    rows = nested.merged_nested(*_both_kept(spark, sf_dir), default_rules(), part_size=10)
+    records.write_secrets(rows, path)
+    back = records.read_secrets(spark, path)
+    values = records.values_of_secrets(back).groupBy("file", "key").agg(
+        F.count_distinct("value").alias("values"), F.sum("occurrences").alias("listed_commits")
+    )
+    authors = back.select("file", "key", F.explode("authors").alias("a")).groupBy("file", "key")
+    authors = authors.agg(F.count("*").alias("authors"))
+    wrong = records.incomplete_secrets(back).agg(F.count("*").alias("n")).scalar()
+    return values.join(authors, ["file", "key"]).withColumn("incomplete", wrong)
+
+
+@query
+def scan_both_history_wins_nested(spark, sf_dir):
+    path = new_path(spark, "both")
+    records.write_secrets(
+        nested.merged_nested(*_both_kept(spark, sf_dir), default_rules(), history_wins=True), path
+    )
+    return _nested_facts(records.read_secrets(spark, path))
+
+
+@query
+def scan_both_summary(spark, sf_dir):
+    return merge.merged_summary(current(spark, sf_dir), history(spark, sf_dir), default_rules())
+
+
+@query
+def scan_both_history_wins_summary(spark, sf_dir):
+    return merge.merged_summary_history_wins(
+        current(spark, sf_dir), history(spark, sf_dir), default_rules()
+    )
+
+
 @query
 def findings_union(spark, sf_dir):
     rows = merge.findings_union(current(spark, sf_dir), history(spark, sf_dir))
@@ -554,7 +619,7 @@ def redact_residual(spark, sf_dir):
 
 @query
 def secrets_csv_view(spark, sf_dir):
-    return nested.csv_view(kept_history(spark, sf_dir), default_rules())
+    return nested.csv_view(kept_history(spark, sf_dir), default_rules()).drop("Parts")
 
 
 @query
@@ -593,13 +658,21 @@ def csv_roundtrip(spark, sf_dir):
     """The CSV files read back: texts, numbers and separators survive."""
     path = new_path(spark, "secrets-csv")
     records.write_csv(nested.csv_view(kept_history(spark, sf_dir), default_rules()), path)
-    reader = spark.read.option("header", True).option("sep", ";").option("escape", '"')
-    schema = (
-        "File STRING, Key STRING, Type STRING, ChangeCount BIGINT, TotalOccurrences BIGINT, "
-        "Authors STRING, AuthorCount BIGINT, FirstSeen STRING, LastSeen STRING, "
-        "DaysActive INT, `Values` STRING"
+    return records.read_csv(spark, path).drop("Part", "Parts")
+
+
+@query
+def csv_parts_roundtrip(spark, sf_dir):
+    """Long secrets over many rows of the CSV: what the files hold together."""
+    path = new_path(spark, "secrets-csv")
+    records.write_csv(nested.csv_view(kept_history(spark, sf_dir), default_rules(), part_size=10), path)
+    rows = records.read_csv(spark, path)
+    lists = records.csv_lists(rows).groupBy("File", "Key").agg(
+        F.count_if(F.col("kind") == "author").alias("authors"), F.count_if(F.col("kind") == "value").alias("values")
+    )
+    return records.csv_secrets(rows).join(lists, ["File", "Key"]).select(
+        "File", "Key", "ChangeCount", "TotalOccurrences", "authors", "values"
     )
-    return reader.schema(schema).csv(path)
 
 
 def commit_texts(lines: DataFrame) -> DataFrame:

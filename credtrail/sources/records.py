@@ -9,7 +9,10 @@ from credtrail.functions.dates import instant
 from credtrail.functions.text import csv_escape, mask
 from credtrail.operators.nested import iso_text
 from credtrail.plans.ranking import numbered
+from credtrail.plans.storage import stored
 
+# The field names of the exchange formats. ``part`` and ``parts`` are ours: a long
+# secret goes over several rows, and says so.
 FINDING_SCHEMA = (
     "file STRING, `key` STRING, `value` STRING, maskedValue STRING, type STRING, "
     "`commit` STRING, author STRING, `date` STRING"
@@ -22,7 +25,7 @@ HISTORY_TYPE = (
 
 SECRET_SCHEMA = (
     "file STRING, `key` STRING, type STRING, changeCount BIGINT, totalOccurrences BIGINT, "
-    f"authors ARRAY<STRING>, history {HISTORY_TYPE}"
+    f"authors ARRAY<STRING>, history {HISTORY_TYPE}, part BIGINT, parts BIGINT"
 )
 
 SCAN_RESULT_SCHEMA = (
@@ -108,6 +111,7 @@ def scan_results(
     secret = F.struct(
         "file", "key", "type", F.col("changeCount").cast("bigint").alias("changeCount"),
         F.col("totalOccurrences").cast("bigint").alias("totalOccurrences"), "authors", "history",
+        F.col("part").cast("bigint").alias("part"), F.col("parts").cast("bigint").alias("parts"),
     )
     chunk = F.floor((F.col("position") - F.col("_size")) / F.lit(result_size))
     listed = F.array_sort(F.collect_list(F.struct("position", secret.alias("secret"))))
@@ -131,9 +135,25 @@ def write_scan_results(results: DataFrame, path: str) -> None:
     results.write.json(path)
 
 
+def _whole_parts(nested: DataFrame) -> DataFrame:
+    """Files of other tools have no parts: each row is a whole secret there."""
+    return nested.withColumns(
+        {"part": F.coalesce("part", F.lit(0).cast("bigint")), "parts": F.coalesce("parts", F.lit(1).cast("bigint"))}
+    )
+
+
 def read_secrets(spark: SparkSession, path: str) -> DataFrame:
     """Secrets of a folder written by :func:`write_secrets`."""
-    return spark.read.schema(SECRET_SCHEMA).json(path)
+    return _whole_parts(spark.read.schema(SECRET_SCHEMA).json(path))
+
+
+def incomplete_secrets(nested: DataFrame) -> DataFrame:
+    """Secrets of which a part is missing or there twice: ``file, key, n_parts, parts``."""
+    counted = nested.groupBy("file", "key").agg(
+        F.count("*").alias("n_parts"), F.count_distinct("part").alias("_different"), F.max("parts").alias("parts")
+    )
+    wrong = (F.col("n_parts") != F.col("parts")) | (F.col("_different") != F.col("parts"))
+    return counted.where(wrong).drop("_different")
 
 
 def read_scan_results(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -141,7 +161,7 @@ def read_scan_results(spark: SparkSession, path: str, multi_line: bool = False)
     line ends inside (``multi_line``), one per file."""
     reader = spark.read.schema(SCAN_RESULT_SCHEMA).option("multiLine", multi_line)
     whole = reader.json(path)
-    return whole.select(F.inline("secrets"))
+    return _whole_parts(whole.select(F.inline("secrets")))
 
 
 def values_of_secrets(nested: DataFrame) -> DataFrame:
@@ -187,13 +207,29 @@ def commits_of_secrets(nested: DataFrame) -> DataFrame:
 # -- CSV ----------------------------------------------------------------------
 
 
+# The columns of the secrets CSV. The last two are ours and only there when a
+# secret goes over several rows.
+CSV_SCHEMA = (
+    "File STRING, Key STRING, Type STRING, ChangeCount BIGINT, TotalOccurrences BIGINT, "
+    "Authors STRING, AuthorCount BIGINT, FirstSeen STRING, LastSeen STRING, "
+    "DaysActive INT, `Values` STRING"
+)
+CSV_PARTS = ", Part BIGINT, Parts BIGINT"
+
+
 def write_csv(view: DataFrame, path: str, quoting: str = "standard") -> None:
     """The secrets CSV, most changed first. ``quoting="flat"`` replaces
-    semicolons and line ends in texts instead of quoting them."""
+    semicolons and line ends in texts instead of quoting them. ``Part`` and ``Parts`` are written
+    if some secret has more than one row; else there are the 11 columns."""
     order = [F.col("ChangeCount").desc(), "File", "Key"]
+    rows = view
     if "Part" in view.columns:
-        order.append("Part")
-    rows = view.orderBy(*order).drop("Part")
+        view = stored(view, "csv-view")
+        rows = view.orderBy(*order, "Part")
+        if not view.where("Parts > 1").limit(1).count():
+            rows = rows.drop("Part", "Parts")
+    else:
+        rows = view.orderBy(*order)
     writer = rows.write.option("header", True).option("sep", ";").option("escape", '"')
     if quoting == "flat":
         texts = {c: csv_escape(F.col(c)) for c in ("File", "Key", "Type", "Authors", "Values")}
@@ -203,6 +239,29 @@ def write_csv(view: DataFrame, path: str, quoting: str = "standard") -> None:
     writer.csv(path)
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The table of a secrets CSV, with ``Part`` and ``Parts`` also where the files lack them."""
+    reader = spark.read.option("header", True).option("sep", ";").option("escape", '"').option("multiLine", True)
+    names = reader.csv(path).columns
+    if "Part" in names:
+        return reader.schema(CSV_SCHEMA + CSV_PARTS).csv(path)
+    rows = reader.schema(CSV_SCHEMA).csv(path)
+    return rows.withColumns({"Part": F.lit(0).cast("bigint"), "Parts": F.lit(1).cast("bigint")})
+
+
+def csv_secrets(rows: DataFrame) -> DataFrame:
+    """One row per secret of a CSV table: its numbers and dates, which each part repeats."""
+    return rows.where(F.col("Part") == 0).drop("Authors", "Values", "Part", "Parts")
+
+
+def csv_lists(rows: DataFrame) -> DataFrame:
+    """``File, Key, kind, text``: every author and every masked value, from all parts."""
+    authors = F.transform(F.split("Authors", ", "), lambda x: F.struct(F.lit("author").alias("kind"), x.alias("text")))
+    values = F.transform(F.split("Values", r" \| "), lambda x: F.struct(F.lit("value").alias("kind"), x.alias("text")))
+    each = rows.select("File", "Key", F.inline(F.concat(F.coalesce(authors, F.array()), F.coalesce(values, F.array()))))
+    return each.where(F.col("text") != "")
+
+
 def write_stats_csv(stats: DataFrame, path: str) -> None:
     stats.orderBy("section", F.col("count").desc(), "name").write.option("header", True).option(
         "sep", ";"
