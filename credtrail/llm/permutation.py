@@ -1,15 +1,15 @@
 """Nearest neighbours by a permutation index.
 
-A vector is represented by its ``PREFIX`` nearest pivots in order. Blocks of vectors are
-stored with an inverted file for each pivot: who lists it, and at which place. For a
-query only the files of its own nearest pivots are read; they add up to the footrule distance
-of the two (truncated) permutations, the ``RERANK`` nearest in each block are ranked again by exact
-inner product, and the best of all blocks win. The nearer vectors are, the more
-alike are their permutations.
+A vector is represented by the nearer half of the pivots, in order. Blocks of vectors are
+stored with an inverted file for each pivot: at which place each vector lists it. For a
+query only the files of its own ``QUERY_PREFIX`` nearest pivots are read; they add up to the footrule
+distance of the two permutations (a vector that does not list a pivot has it at the end), the
+``RERANK`` nearest in each block are ranked again by exact inner product, and the best
+of all blocks win. The nearer vectors are, the more alike are their permutations.
 
 Inner products are brought to angles by one more coordinate that makes all
 vectors equally long; queries have 0 there. Pivots are a sample of ``2 * sqrt(rows)`` distinct vectors, at
-most ``MAX_PIVOTS``, chosen by hash; every row is indexed. Equal vectors of a block
+least ``LEAST_PIVOTS`` and at most ``MAX_PIVOTS``, chosen by hash; every row is indexed. Equal vectors of a block
 share an entry that lists their ids, so a group of copies crowds nothing out.
 
 Blocks of vectors and blocks of queries meet in an equi-join over groups of blocks: a
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from credtrail.llm.common import written
 
-PREFIX = 16
+QUERY_PREFIX = 128
 RERANK = 400
+LEAST_PIVOTS = 512
 MAX_PIVOTS = 4096
 BLOCK_ROWS = 8192
 QUERY_ROWS = 512
@@ -50,7 +51,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def chosen_pivots(rows: DataFrame, count: int) -> np.ndarray:
-    wanted = min(MAX_PIVOTS, max(PREFIX, math.ceil(2 * math.sqrt(count))))
+    wanted = min(MAX_PIVOTS, max(LEAST_PIVOTS, math.ceil(2 * math.sqrt(count))))
     place = F.pmod(F.xxhash64("vector"), F.lit(1 << 40))
     share = min(1.0, 8 * wanted / count)
     sample = rows.where(place < F.lit(int(share * (1 << 40)))).select("vector").distinct()
@@ -60,8 +61,11 @@ def chosen_pivots(rows: DataFrame, count: int) -> np.ndarray:
 
 
 def permutations(vectors: np.ndarray, pivots: np.ndarray, longest: float, query: bool) -> np.ndarray:
-    """Numbers of the nearest pivots of each vector, nearest first."""
-    k = min(PREFIX, len(pivots))
+    """Numbers of the nearest pivots of each vector, nearest first: half of them, or for
+    queries their first ones only."""
+    k = (len(pivots) + 1) // 2
+    if query:
+        k = min(k, QUERY_PREFIX)
     near = vectors @ pivots.T
     if not query:
         near += _rest(vectors, longest)[:, None] * _rest(pivots, longest)[None, :]
@@ -118,21 +122,17 @@ class Block:
         self.vectors, self.ids = flat[first], own[by_group]
         self.ends = np.append(0, np.cumsum(np.bincount(group)))
         near = permutations(self.vectors, pivots, longest, query=False)
-        listed = np.argsort(near.ravel(), kind="stable")
-        k = near.shape[1]
-        self.entry, self.rank = (listed // k).astype(np.int32), (listed % k).astype(np.int32)
-        self.posting = np.searchsorted(near.ravel()[listed], np.arange(len(pivots) + 1))
+        n, k = near.shape
+        # One row a pivot: the place at which each vector lists it.
+        self.places = np.full((len(pivots), n), k, np.int16)
+        self.places[near.T, np.arange(n)] = np.arange(k, dtype=np.int16)[:, None]
 
     def nearest(self, query_id: int, query: np.ndarray, near: np.ndarray, wanted: int):
         """Ids and scores, best first."""
-        closeness = np.zeros(len(self.vectors), np.int32)
-        k = len(near)
-        for place, pivot in enumerate(near.tolist()):
-            s = slice(self.posting[pivot], self.posting[pivot + 1])
-            # A pivot that both list takes this off the footrule distance (halved).
-            closeness[self.entry[s]] += k - np.maximum(self.rank[s], place)
-        take = min(max(RERANK, wanted + 1), len(closeness))
-        best = np.argpartition(-closeness, take - 1)[:take]
+        own = np.arange(len(near), dtype=np.int16)[:, None]
+        footrule = np.abs(self.places[near] - own).sum(axis=0, dtype=np.int32)
+        take = min(max(RERANK, wanted + 1), len(footrule))
+        best = np.argpartition(footrule, take - 1)[:take]
         score = np.cumsum(self.vectors[best] * query, axis=1)[:, -1]
         order = np.argsort(-score, kind="stable")[: wanted + 1]
         if len(best) > wanted + 1:  # equals at the edge
