@@ -7,8 +7,9 @@ length. Of equal payloads only one is stored, the others are ``revisit`` records
 
 The archives are plain text output of Spark: the ``text`` format with the end of a record
 as line separator. Reading splits files at the version line, so archives of any size
-are read in parallel. The writer cuts chunks so that no block holds a
-version line; archives of other writers in which one does are refused, not misread.
+are read in parallel. The writer cuts chunks and segments so that no version line arises inside
+a block, neither from the payload alone nor from it and the framing behind it;
+archives of other writers in which one does are refused, not misread.
 
 Defined cases: a null payload is empty; a null URL is left out; control characters in
 URLs are percent-encoded; repeated rows are records of their own; rows with a null id
@@ -22,7 +23,7 @@ import base64
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from credtrail.llm.common import batches
 
 VERSION = b"WARC/1.1\r\n"
+BARE_VERSION = VERSION.rstrip()
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = "\r\n\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 CHUNKED = b"Transfer-Encoding: chunked\r\n"
@@ -41,7 +44,7 @@ RECORDS = (
 )
 PAGES = (
     "record_id string, record_type string, page_id bigint, url string, refers_to bigint, "
-    "digest string, payload binary"
+    "digest string, payload_bytes bigint, payload binary"
 )
 
 
@@ -70,37 +73,47 @@ def deduplicated(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "payload", F.when(other, F.col("best")).alias("refers_to"))
 
 
-def write_archive(pages: DataFrame, path: str, segment_bytes: int = 16_384, chunk_bytes: int = 4_096) -> None:
-    """Write ``page_id, url, payload, refers_to`` as WARC files below ``path``."""
+def write_archive(
+    pages: DataFrame,
+    path: str,
+    segment_bytes: int = 16_384,
+    chunk_bytes: int = 4_096,
+    date: str = "2030-01-01T00:00:00Z",
+) -> None:
+    """Write ``page_id, url, payload, refers_to`` as WARC files below ``path``; ``date`` is
+    the time of capture that every record carries."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for p in parts for x in p.to_pylist() for r in _records(x, segment_bytes, chunk_bytes))
+        rows = (r for p in parts for x in p.to_pylist() for r in _records(x, segment_bytes, chunk_bytes, date))
         yield from batches(((r,) for r in rows), pa.schema([("record", pa.binary())]), lambda r: len(r[0]))
 
     records = pages.mapInArrow(run, "record binary").select(F.col("record").cast("string"))
     records.write.option("lineSep", RECORD_END).text(path)
 
 
-def _records(page: dict, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
+def _records(page: dict, segment_bytes: int, chunk_bytes: int, date: str) -> Iterator[bytes]:
     payload, record_id = page["payload"], f"<urn:uuid:{uuid.uuid4()}>"
     revisit = page["refers_to"] is not None
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id)]
+    fields += [("WARC-Date", date), ("Content-Type", "application/http; msgtype=response")]
     fields.append(("WARC-Payload-Digest", f"sha1:{bare_sha1(payload)}"))
     if page["page_id"] is not None:
         fields.append(("WARC-Page-ID", str(page["page_id"])))
     if page["url"] is not None:
         fields.append(("WARC-Target-URI", _clean(page["url"])))
     if revisit:
+        fields.append(("WARC-Profile", SAME_PAYLOAD))
         fields.append(("WARC-Refers-To-Page", str(page["refers_to"])))
         yield _record(fields, HTTP_HEAD + b"\r\n")
         return
     block = HTTP_HEAD + CHUNKED + b"\r\n" + chunked(payload, chunk_bytes)
-    pieces = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
+    edges = _clear_of_version(block, range(0, len(block), segment_bytes))
+    pieces = [block[a:b] for a, b in zip(edges, edges[1:])]
     if len(pieces) > 1:
         fields.append(("WARC-Segment-Number", "1"))
     yield _record(fields, pieces[0])
     for n, piece in enumerate(pieces[1:], 2):
-        fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>")]
+        fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date)]
         fields += [("WARC-Segment-Origin-ID", record_id), ("WARC-Segment-Number", str(n))]
         if n == len(pieces):
             fields.append(("WARC-Segment-Total-Length", str(len(block))))
@@ -116,11 +129,18 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return VERSION + head.encode() + b"\r\n" + block
 
 
+def _clear_of_version(data: bytes, cuts: Iterable[int]) -> list[int]:
+    """Where to cut: at ``cuts`` and the end, and once more inside each version that would
+    stand right before a cut, as line ends follow there."""
+    edges = {*cuts, len(data)}
+    edges |= {c - 4 for c in edges if data[max(0, c - len(BARE_VERSION)) : c] == BARE_VERSION}
+    return sorted(edges)
+
+
 def chunked(payload: bytes, chunk_bytes: int) -> bytes:
     """Chunked transfer framing; a chunk also ends inside each version line."""
-    cuts = {*range(0, len(payload), chunk_bytes), len(payload)}
-    cuts |= {m.start() + 4 for m in re.finditer(re.escape(VERSION), payload)}
-    edges = sorted(cuts)
+    cuts = {m.start() + 4 for m in re.finditer(re.escape(VERSION), payload)}
+    edges = _clear_of_version(payload, cuts | {*range(0, len(payload), chunk_bytes)})
     chunks = [payload[a:b] for a, b in zip(edges, edges[1:])]
     return b"".join(b"%x\r\n%b\r\n" % (len(c), c) for c in chunks) + b"0\r\n\r\n"
 
@@ -183,16 +203,16 @@ def reassembled(records: DataFrame) -> DataFrame:
             pieces.alias("pieces"),
         )
     )
-    block = F.expr("aggregate(pieces, cast('' as binary), (a, p) -> concat(a, p.block))")
+    size = F.aggregate("pieces", F.lit(0).cast("bigint"), lambda n, p: n + F.octet_length(p["block"]))
     gapless = _all_true(F.expr("pieces.segment = sequence(1, size(pieces))"), "gap in the segments")
-    length = _all_true(F.octet_length("block") == F.col("total_length"), "wrong total length")
-    groups = groups.where(gapless).select(*heads, "total_length", block.alias("block")).where(length)
+    length = _all_true(size == F.col("total_length"), "wrong total length")
+    groups = groups.where(gapless).where(length).select(*heads, F.col("pieces.block").alias("blocks"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (_payload(x) for p in parts for x in p.to_pylist())
         yield from batches(rows, _arrow(PAGES), lambda r: 300 + len(r[-1] or b""))
 
-    together = whole.select(*heads, "block").unionByName(groups.select(*heads, "block"))
+    together = whole.select(*heads, F.array("block").alias("blocks")).unionByName(groups)
     return together.mapInArrow(run, PAGES)
 
 
@@ -203,20 +223,21 @@ def _all_true(test: Column, message: str) -> Column:
 
 
 def _payload(record: dict) -> tuple:
-    head, _, body = record["block"].partition(b"\r\n\r\n")
+    head, _, body = b"".join(record["blocks"]).partition(b"\r\n\r\n")
     if record["record_type"] == "revisit":
         payload = None
     else:
         payload = unchunked(body) if CHUNKED.strip() in head else body
         if record["digest"] and bare_sha1(payload) != record["digest"]:
             raise ValueError(f"{record['record_id']}: the payload does not fit its digest")
-    return (*(record[c] for c in _arrow(PAGES).names[:-1]), payload)
+    size = None if payload is None else len(payload)
+    return (*(record[c] for c in _arrow(PAGES).names[:-2]), size, payload)
 
 
 def payload_facts(read: DataFrame) -> DataFrame:
     """Length and digest of the full payload for every record; a revisit has the length of
     the response with the same digest."""
-    facts = read.select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").alias("bytes"))
+    facts = read.select("page_id", "record_type", "refers_to", "digest", F.col("payload_bytes").alias("bytes"))
     lengths = (
         facts.where("record_type = 'response'")
         .groupBy(F.col("digest").alias("of"))
