@@ -81,7 +81,8 @@ def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left when strings of 400 bytes that occur elsewhere are removed."""
-    return repeats.removed(table(spark, sf_dir, "documents"))
+    rows = repeats.removed(table(spark, sf_dir, "documents"))
+    return rows.withColumn("has_repeats", F.col("n_removed") > 0)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +90,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = pii.selected(docs, pii.fit(docs))
     counts = [pii.count_of(k).alias(f"n_{k}") for k in pii.BASE]
-    return rows.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), (pii.joined("spans") != "").alias("has_personal_data"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
