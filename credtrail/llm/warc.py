@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credtrail.llm.common import batches
+from credtrail.llm.common import batches, written
+from credtrail.plans.sizing import broadcast_if_small
 
 VERSION = b"WARC/1.1\r\n"
 BARE_VERSION = VERSION.rstrip()
@@ -67,7 +68,9 @@ def deduplicated(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .where("n > 1")
         .select(F.col("same").alias("group"), "best")
     )
-    # A hot payload is one row on the right; adaptive execution splits the left side.
+    # Few payloads are there twice, mostly: pages then stay where they are. Else a hot payload
+    # is one row on the right, and adaptive execution splits the left side.
+    groups = broadcast_if_small(written(groups, "copies"))
     joined = rows.join(groups, F.col("same") == F.col("group"), "left")
     other = ~F.col("page_id").eqNullSafe(F.col("best"))
     return joined.select("page_id", "url", "payload", F.when(other, F.col("best")).alias("refers_to"))
