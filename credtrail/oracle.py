@@ -623,3 +623,8 @@ ORACLE["scan_both_history_wins_summary"] = _base(
     SNAPSHOT,
     MERGED,
 )
+ORACLE["indented_result_scan"] = _base(
+    "SELECT file, key, type, change_count, total_occurrences, commit_count AS commits, "
+    "CAST(0 AS BIGINT) AS bad_lines FROM s",
+    SECRETS,
+)

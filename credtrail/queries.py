@@ -29,7 +29,7 @@ from credtrail.rules import (
     ignore_table,
     keyword_table,
 )
-from credtrail.sources import records
+from credtrail.sources import indented, records
 from credtrail.sources.files import read_file_lines
 from credtrail.sources.git_log import read_git_log
 from credtrail.streaming import findings as streams
@@ -769,6 +769,19 @@ def scan_result_roundtrip(spark, sf_dir):
     )
 
 
+@query
+def indented_result_scan(spark, sf_dir):
+    """Results as other tools write them, indented over many lines, read line by line."""
+    path = new_path(spark, "indented")
+    rows = nested.nested_secrets(kept_history(spark, sf_dir), default_rules(), part_size=100)
+    indented.indented_documents(rows, "events", "--all", "2030-01-01T00:00:00Z").write.text(path)
+    read = indented.read_indented(spark, path)
+    found = indented.indented_secrets(read).select("file", "key", "type", "change_count", "total_occurrences")
+    commits = indented.indented_commits(read).groupBy("file", "key").agg(F.count_distinct("commit").alias("commits"))
+    bad = indented.count_bad_lines(read).select("bad_lines").scalar()
+    return found.join(commits, ["file", "key"]).withColumn("bad_lines", bad)
+
+
 # -- rules as tables ------------------------------------------------------------------
 
 
