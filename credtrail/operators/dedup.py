@@ -14,11 +14,12 @@ def first_findings(found: DataFrame) -> DataFrame:
     history (``src_rank``, if present), then keyword order, then log order (``seq``
     counts in a log file, so ``path`` comes before it, if present).
 
-    An aggregate, so repeats of a hot value collapse before the shuffle.
+    An aggregate, so repeats of a hot value collapse before the shuffle. The text of the
+    line stays behind: nothing that follows needs it, and it is most of a row.
     """
     keys = [*secret_keys(found), "value"]
     order = [c for c in ("src_rank", "kw_first", "path", "seq") if c in found.columns]
-    rest = [c for c in found.columns if c not in keys]
+    rest = [c for c in found.columns if c not in (*keys, "line")]
     best = F.min(F.struct(*order, F.struct(*rest).alias("_row"))).alias("_best")
     return found.groupBy(*keys).agg(best).select(*keys, "_best._row.*")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from credtrail.functions.files import glob_rule_columns
 from credtrail.plans.sizing import broadcast_if_small
-from credtrail.plans.storage import materialized
+from credtrail.plans.storage import materialized, stored
 
 
 def without_ignored(
@@ -16,10 +16,19 @@ def without_ignored(
     """Drop the files that a glob of the table ``(glob, *by)`` matches.
 
     Only distinct paths are compared. Paths and globs meet on equal text: a path
-    offers its prefixes and suffixes of the lengths that occur in the table.
+    offers its prefixes and suffixes of the lengths that occur in the table. A glob such as
+    ``**/x`` has the empty prefix, which every path would offer: it drops all paths of
+    its list, and no join is needed for that.
     """
     rules = globs.select(*by, *[c.alias(n) for n, c in glob_rule_columns(F.col("glob")).items()])
-    rules = rules.distinct()
+    rules = stored(rules.distinct(), "globs")
+    of_all = (F.col("how") != "equal") & (F.col("text") == "")
+    everything = rules.where(of_all).select(*by).distinct()
+    if everything.limit(1).count():
+        if not by:
+            return lines.where(F.lit(False))
+        lines = lines.join(broadcast_if_small(stored(everything, "ignored-lists")), list(by), "left_anti")
+        rules = rules.where(~of_all)
     # One row per kind: the lengths that occur, a few dozen numbers.
     sizes = rules.groupBy("how").agg(F.sort_array(F.collect_set(F.length("text"))).alias("sizes"))
     lengths = {r["how"]: r["sizes"] for r in sizes.collect()}

@@ -628,3 +628,28 @@ ORACLE["indented_result_scan"] = _base(
     "CAST(0 AS BIGINT) AS bad_lines FROM s",
     SECRETS,
 )
+ORACLE["unique_values_by_sketch"] = _base(
+    "SELECT file, count(DISTINCT (key, value)) AS unique_values, "
+    "count(DISTINCT value) AS global_unique_values, true AS within_5_percent FROM h GROUP BY file"
+)
+ORACLE["findings_in_weeks"] = _base(
+    "SELECT week, file, count(*) AS lines, CAST(sum(hits) AS BIGINT) AS occurrences FROM h JOIN range(3) r(week) "
+    "ON h.date >= DATE '2024-01-01' + CAST(14 * week AS INT) AND h.date < DATE '2024-01-08' + CAST(14 * week AS INT) "
+    "GROUP BY week, file"
+)
+ORACLE["ignored_by_lists"] = """WITH f AS (
+  SELECT lang, source || '/' || doc_id || '.' || lang AS file, n_chars FROM documents),
+kept AS (SELECT * FROM f WHERE NOT (
+  (lang = 'en' AND (starts_with(file, 'src1/') OR starts_with(file, 'src2')))
+  OR (lang = 'de' AND ends_with(file, '.de'))
+  OR (lang = 'es' AND (starts_with(file, 'src3/') OR file = '*4.es'
+    OR file = (SELECT min(file) FROM f WHERE lang = 'es')))
+  OR lang = 'fr'))
+SELECT lang, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS n_chars, min(file) AS first FROM kept GROUP BY lang"""
+ORACLE["keyword_table_hits"] = """WITH w AS (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS keyword FROM benchmark),
+l AS (SELECT doc_id, lower(unnest(string_split(text, chr(10)))) AS line FROM documents)
+SELECT keyword, count(*) AS lines, count(DISTINCT doc_id) AS docs FROM l JOIN w ON contains(line, keyword) GROUP BY keyword"""
+ORACLE["secrets_by_keyword_table"] = _base(
+    "SELECT file, key, type, change_count, total_occurrences FROM s", SECRETS
+)

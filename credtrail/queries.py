@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from credtrail.functions.keywords import has_any_keyword
 from credtrail.functions.text import fingerprint, mask
 from credtrail.operators import aggregate as agg
-from credtrail.operators import dedup, merge, nested, pickaxe, redact, report, scan
+from credtrail.operators import dedup, lookup, merge, nested, pickaxe, redact, report, scan
 from credtrail.operators.dedup import longest_first, usable_values
 from credtrail.operators.ignore import without_ignored
 from credtrail.operators.timeline import secret_timeline
@@ -29,7 +29,7 @@ from credtrail.rules import (
     ignore_table,
     keyword_table,
 )
-from credtrail.sources import indented, records
+from credtrail.sources import indented, layout, records
 from credtrail.sources.files import read_file_lines
 from credtrail.sources.git_log import read_git_log
 from credtrail.streaming import findings as streams
@@ -334,6 +334,27 @@ def approx_unique_values(spark, sf_dir):
     return agg.unique_values(history(spark, sf_dir), exact=False)
 
 
+@query
+def unique_values_by_sketch(spark, sf_dir):
+    """Distinct values of each file from sketches kept per file and day, beside exact counts."""
+    found = kept_history(spark, sf_dir).withColumn("day", F.to_date("date"))
+    kept = materialized(agg.value_sketches(found, "file", "day"))
+    near = agg.sketched_values(kept, "file").withColumnsRenamed(
+        {"unique_values": "_u", "global_unique_values": "_g"}
+    )
+    pairs = found.groupBy("file").agg(
+        F.count_distinct("key", "value").alias("unique_values"), F.count_distinct("value").alias("global_unique_values")
+    )
+
+    def close(estimate: str, exact: str):
+        return F.abs(F.col(estimate) - F.col(exact)) <= F.col(exact) * 0.05
+
+    return pairs.join(near, "file").select(
+        "file", "unique_values", "global_unique_values",
+        (close("_u", "unique_values") & close("_g", "global_unique_values")).alias("within_5_percent"),
+    )
+
+
 # -- statistics -------------------------------------------------------------------
 
 
@@ -397,6 +418,19 @@ def findings_by_date_range(spark, sf_dir):
     return per_day.agg(F.count("*").alias("lines"), F.sum("hits").alias("occurrences"))
 
 
+@query
+def findings_in_weeks(spark, sf_dir):
+    """Findings laid out by day, and the weeks asked for given by a table."""
+    path = new_path(spark, "by-day")
+    layout.write_by_day(kept_history(spark, sf_dir), path)
+    weeks = spark.sql(
+        "SELECT id AS week, date_add(date'2024-01-01', CAST(14 * id AS INT)) AS since, "
+        "date_add(date'2024-01-08', CAST(14 * id AS INT)) AS until FROM range(3)"
+    )
+    rows = layout.in_days(layout.read_by_day(spark, path), weeks)
+    return rows.groupBy("week", "file").agg(F.count("*").alias("lines"), F.sum("hits").alias("occurrences"))
+
+
 @query
 def gate(spark, sf_dir):
     return agg.gate(history(spark, sf_dir))
@@ -794,6 +828,42 @@ def ignored_by_table(spark, sf_dir):
     return kept.groupBy("file").agg(F.count("*").alias("n"))
 
 
+@query
+def ignored_by_lists(spark, sf_dir):
+    """A list of globs for each language, with all four kinds of them and one that ignores everything."""
+    files = table(spark, sf_dir, "documents").select(
+        "lang", F.concat("source", F.lit("/"), "doc_id", F.lit("."), "lang").alias("file"), "n_chars"
+    )
+    globs = [("en", "src1/"), ("en", "src2**/x"), ("de", "*.de"), ("es", "src3/"), ("es", "*4.es"), ("fr", "**/x")]
+    first = files.where("lang = 'es'").agg(F.min_by("lang", "file").alias("lang"), F.min("file").alias("glob"))
+    lists = spark.createDataFrame(globs, "lang STRING, glob STRING").unionByName(first)
+    kept = without_ignored(files, lists, by=("lang",))
+    return kept.groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("n_chars"), F.min("file").alias("first"))
+
+
+@query
+def keyword_table_hits(spark, sf_dir):
+    """How many lines of the documents hold each word of the benchmark, as a table of keywords."""
+    words = table(spark, sf_dir, "benchmark").select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("keyword")
+    ).distinct()
+    words = words.withColumn("kw_idx", F.xxhash64("keyword"))
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    hits = lookup.keyword_matches(lines, words, ["doc_id", "line_no"])
+    return hits.join(words, "kw_idx").groupBy("keyword").agg(
+        F.count("*").alias("lines"), F.count_distinct("doc_id").alias("docs")
+    )
+
+
+@query
+def secrets_by_keyword_table(spark, sf_dir):
+    """The scan with its keywords as a table that lines are joined with."""
+    rules = default_rules()
+    lines = scan.scanned_files(scan.added_lines(commit_lines(spark, sf_dir)), rules)
+    found = lookup.findings_by_table(lines, keyword_table(spark, rules), rules, ["seq"])
+    return agg.secrets(found, rules).select("file", "key", "type", "change_count", "total_occurrences")
+
+
 @query
 def keyword_groups_hit(spark, sf_dir):
     """Findings per keyword group, the keyword list joined as a table."""
