@@ -371,6 +371,28 @@ def redact_summary(redacted: DataFrame) -> DataFrame:
     )
 
 
+def redact_outcome(redacted: DataFrame, found: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+    """What a redaction did, in one row: values and patterns, their source, and the texts and files
+    that changed. ``redacted`` has a column ``file``."""
+    plan = redact_plan(found, size)
+    done = redacted.agg(
+        F.count("*").alias("texts"),
+        F.count_if("modified").alias("texts_modified"),
+        F.count_distinct(F.when(F.col("modified"), F.col("file"))).alias("files_modified"),
+    )
+    return done.select(
+        plan.select("n_values").scalar().alias("secrets_removed"),
+        plan.select("n_patterns").scalar().alias("patterns_used"),
+        plan.select("source").scalar().alias("source"),
+        "texts", "texts_modified", "files_modified",
+    )
+
+
+def changed_files(redacted: DataFrame) -> DataFrame:
+    """The files that a redaction changes, with the number of texts in each."""
+    return redacted.where("modified").groupBy("file").agg(F.count("*").alias("texts_modified"))
+
+
 def residual(redacted: DataFrame, values: DataFrame, key: list[str]) -> DataFrame:
     """Texts that still hold a value after redaction: ``(*key, value)``."""
     return find_values(redacted, values, key, "redacted")

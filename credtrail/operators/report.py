@@ -85,6 +85,15 @@ def report_authors(entries: DataFrame, size: int = 10) -> DataFrame:
     )
 
 
+def top_with_more(entries: DataFrame, by: str, size: int = 5) -> DataFrame:
+    """``section, name, count, remaining``: the most frequent of a column and how many more there are."""
+    counts = entry_counts(entries, by)
+    more = counts.agg(F.greatest(F.count("*") - size, F.lit(0)).alias("n")).scalar()
+    return top(counts, by, size).select(
+        F.lit(by).alias("section"), F.col(by).alias("name"), "count", more.alias("remaining")
+    )
+
+
 def report_files(entries: DataFrame, size: int = 10, width: int = 50) -> DataFrame:
     counts = top(entry_counts(entries, "file"), "file", size)
     return counts.select(F.substring("file", 1, width).alias("file"), "count")

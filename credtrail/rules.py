@@ -197,7 +197,10 @@ def load_rules(spark: SparkSession, path: str, base: Rules | None = None) -> Rul
     """
     rules = base or default_rules()
     reader = spark.read.schema(RULES_SCHEMA).option("multiLine", True).option("mode", "FAILFAST")
-    found = json.loads(reader.json(path).select(F.to_json(F.struct("*"))).first()[0])
+    read = reader.json(path).select(F.to_json(F.struct("*"))).limit(2).collect()
+    if len(read) != 1:
+        raise ValueError(f"{path} must hold one rule file")
+    found = json.loads(read[0][0])
 
     changes: dict = {}
     if "extractionPatterns" in found:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from credtrail.queries import QUERIES
+from credtrail.case_queries import CASE_QUERIES
+from credtrail.queries import QUERIES as MAIN_QUERIES
 from tests.compare import differences, duck
 
 SF_DIR = "/root/testdata/sf0.001"
+QUERIES = {**MAIN_QUERIES, **CASE_QUERIES}
 SQL = entry.oracle_sql()
 
 
