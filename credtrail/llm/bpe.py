@@ -7,8 +7,8 @@ has to look at the tokens that end there and begin at a *live* place, one from w
 some token may still be under way.
 
 A state of the nondeterministic machine is a live place with the tokens that lead to
-it; a state of the transducer is the set of them. It is made when first entered, and so are
-its arcs, ``byte -> (state, tokens)``. What all live places have in common
+it; a state of the transducer is the set of them. States and their arcs, ``byte -> (state, tokens)``, are
+made when they are asked for again. What all live places have in common
 can no longer change and is emitted: that is the bounded lookahead, as no place stays
 live for longer than the longest token. If the table outgrows ``MAX_STATES`` it is
 emptied, which costs time only.
@@ -23,6 +23,7 @@ error; bytes that are no UTF-8 decode to U+FFFD in text and stay as they are in
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -33,11 +34,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credtrail.llm.common import Cached, extended
+from credtrail.llm.common import extended
 
-MAX_STATES = 150_000
-#: Words whose tokens are remembered, by each Python worker.
-MAX_WORDS = 200_000
+MAX_STATES = 100_000
+#: Words whose tokens are remembered by each task, and the longest such word in characters:
+#: together they bound the memory, some 100 bytes a word.
+MAX_WORDS = 400_000
+LONGEST_KEPT = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,26 +50,78 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
+    """``arcs[state << 8 | byte]`` is the next state and the ids (little-endian, 32 bits each) that
+    are settled by then; ``ends[state]`` are the ids left when a word ends there."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {v: k for k, v in ranks.items()}
-        self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
-        self.pairs = Cached(lambda p: self.merged(p[0] + p[1]) == [p[0], p[1]], 1_000_000)
-        self.whole = Cached(lambda t: self.merged(t) == [t], 1_000_000)
+        # 1 for what longer tokens begin with, 2 for tokens, 3 for both.
+        self.kinds = dict.fromkeys((t[:n] for t in ranks for n in range(1, len(t))), 1)
+        for t in ranks:
+            self.kinds[t] = self.kinds.get(t, 0) | 2
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.whole: dict[bytes, bool] = {}
+        self.halves: dict[bytes, list[bytes]] = {}
+        self.arcs: dict[int, tuple[int, bytes]] = {}
+        self.numbers: dict[tuple, int] = {}
+        self.asked: set[int] = set()
         self._reset()
 
     def _reset(self) -> None:
         # A live place: the bytes since it, and the tokens that lead to it.
-        self.states = [((b"", ()),)]
-        self.ids = {self.states[0]: 0}
-        self.arcs = [{}]
+        for kept in (self.arcs, self.numbers, self.asked, self.pairs):
+            kept.clear()
+        self.states, self.ends = [], []
+        self._added(((b"", ()),))
+
+    def _is_pair(self, a: bytes, b: bytes) -> bool:
+        """Whether merging the bytes of two tokens alone gives them back.
+
+        The merges that made them are undone from the last one on. If at any of these times a
+        merge across the border would have come before the one undone, it was made instead."""
+        known = self.pairs.get((a, b))
+        if known is not None:
+            return known
+        left, right, ranks, limit = a, b, self.ranks, len(self.ranks) + 1
+        while True:
+            across = ranks.get(left + right)
+            if across is not None and across < limit:
+                known = False
+                break
+            if len(left) > 1 and (len(right) == 1 or ranks[left] > ranks[right]):
+                limit, left = ranks[left], self._halves(left)[1]
+            elif len(right) > 1:
+                # Of equal merges the one further left comes first.
+                limit, right = ranks[right] + 1, self._halves(right)[0]
+            else:
+                known = True
+                break
+        self.pairs[a, b] = known
+        return known
+
+    def _halves(self, token: bytes) -> list[bytes]:
+        """The two parts of the last merge that makes a token."""
+        known = self.halves.get(token)
+        if known is None:
+            known = self.halves[token] = self.merged(token, 2)
+        return known
+
+    def _is_whole(self, token: bytes) -> bool:
+        known = self.whole.get(token)
+        if known is None:
+            known = self.whole[token] = self.merged(token) == [token]
+        return known
 
-    def merged(self, word: bytes) -> list[bytes]:
-        """By the definition: again and again the leftmost pair of lowest rank."""
+    def _ids(self, tokens: tuple[bytes, ...]) -> bytes:
+        return b"".join([self.ranks[t].to_bytes(4, "little") for t in tokens])
+
+    def merged(self, word: bytes, least: int = 1) -> list[bytes]:
+        """By the definition: again and again the leftmost pair of lowest rank, until there are
+        no more than ``least`` parts."""
         rank, none = self.ranks.get, len(self.ranks) + 1
         parts = [word[i : i + 1] for i in range(len(word))]
         ranked = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
-        while ranked and (best := min(ranked)) != none:
+        while len(ranked) >= least and (best := min(ranked)) != none:
             i = ranked.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             # Only the pairs on both sides of the new part change.
@@ -77,51 +132,115 @@ class Transducer:
                 ranked[i] = rank(parts[i] + parts[i + 1], none)
         return parts
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[bytes, ...]]:
-        last, live, ends = bytes((byte,)), [], None
-        for since, path in self.states[state]:
+    def _next(self, live: tuple, byte: int) -> tuple[tuple, bytes]:
+        """The live places one byte further, and the ids that are settled by it."""
+        last, going, ends = bytes((byte,)), [], None
+        kinds, pairs = self.kinds, self.pairs
+        for since, path in live:
             word = since + last
-            if ends is None and word in self.ranks and self.whole[word]:
-                if not path or self.pairs[path[-1], word]:
+            kind = kinds.get(word)
+            if kind is None:
+                continue
+            if kind & 1:
+                going.append((word, path))
+            if ends is None and kind & 2 and self._is_whole(word):
+                fits = not path or pairs.get((path[-1], word))
+                if fits or (fits is None and self._is_pair(path[-1], word)):
                     ends = (*path, word)
-            if word in self.prefixes:
-                live.append((word, path))
         if ends is None:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        live.append((b"", ends))
-        shared, most = 0, min(len(p) for _, p in live) - 1
-        while shared < most and all(p[shared] == ends[shared] for _, p in live):
-            shared += 1
         # The last shared token stays: whether the next one may follow depends on it.
-        out = live[0][1][:shared]
-        target = tuple((w, p[shared:]) for w, p in live)
-        known = self.ids.get(target)
-        if known is None:
-            if len(self.states) >= MAX_STATES:
-                self._reset()
-                state = None
-            known = self.ids[target] = len(self.states)
-            self.states.append(target)
-            self.arcs.append({})
-        if state is not None:
-            self.arcs[state][byte] = (known, out)
-        return known, out
+        if not going:
+            return ((b"", ends[-1:]),), self._ids(ends[:-1])
+        going.append((b"", ends))
+        paths = [p for _, p in going]
+        low, high = min(paths), max(paths)
+        shared, most = 0, min(map(len, paths)) - 1
+        while shared < most and low[shared] == high[shared]:
+            shared += 1
+        if shared > 0:
+            return tuple([(w, p[shared:]) for w, p in going]), self._ids(ends[:shared])
+        return tuple(going), b""
+
+    def _added(self, live: tuple) -> int:
+        known = self.numbers[live] = len(self.states)
+        self.states.append(live)
+        self.ends.append(self._ids(live[-1][1]))
+        return known
+
+    def pieces(self, word: bytes) -> Iterator[bytes]:
+        """Ids in order, each as soon as it is settled.
+
+        An arc is added when it is asked for a second time. Before that the live places go on by
+        themselves, until they are those of a state: the ends of rare words leave nothing behind."""
+        arcs, numbers = self.arcs, self.numbers
+        state, live = 0, None
+        for byte in word:
+            if live is None:
+                key = state << 8 | byte
+                step = arcs.get(key)
+                if step is not None:
+                    state = step[0]
+                    if step[1]:
+                        yield step[1]
+                    continue
+                live, out = self._next(self.states[state], byte)
+                known = numbers.get(live)
+                if key in self.asked or known is not None:
+                    if known is None:
+                        if len(self.states) >= MAX_STATES:
+                            self._reset()
+                            known = self._added(live)
+                        else:
+                            known = self._added(live)
+                            arcs[key] = known, out
+                    else:
+                        arcs[key] = known, out
+                    state, live = known, None
+                else:
+                    if len(self.asked) >= MAX_STATES:
+                        self.asked.clear()
+                    self.asked.add(key)
+            else:
+                live, out = self._next(live, byte)
+                known = numbers.get(live)
+                if known is not None:
+                    state, live = known, None
+            if out:
+                yield out
+        yield self.ends[state] if live is None else self._ids(live[-1][1])
 
     def tokens_of(self, word: bytes) -> Iterator[bytes]:
-        """Tokens in order, each as soon as it is settled."""
-        state = 0
-        for byte in word:
-            step = self.arcs[state].get(byte) or self._arc(state, byte)
-            state = step[0]
-            yield from step[1]
-        yield from self.states[state][-1][1]
+        """The same as tokens."""
+        names = {v: k for k, v in self.ranks.items()}
+        for piece in self.pieces(word):
+            yield from (names[i] for i in np.frombuffer(piece, "<u4").tolist())
 
     def packed(self, word: str) -> bytes:
         """Ids of a word of the split text, as little-endian 32-bit integers."""
         raw = word.encode()
         whole = self.ranks.get(raw)
-        found = [whole] if whole is not None else [self.ranks[t] for t in self.tokens_of(raw)]
-        return np.array(found, dtype="<u4").tobytes()
+        return b"".join(self.pieces(raw)) if whole is None else whole.to_bytes(4, "little")
+
+
+class Words(dict):
+    """Ids of the words met last, by word. A word that leaves the younger half goes on in the
+    older one; from there it comes back when it is met again."""
+
+    def __init__(self, machine: Transducer, limit: int = MAX_WORDS):
+        super().__init__()
+        self.machine, self.half, self.older = machine, limit // 2, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.machine.packed(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
 
 
 class Utf8Stream:
@@ -164,14 +283,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Cached(Transducer(shared.value).packed, MAX_WORDS)
+        words = Words(Transducer(shared.value))
         find, of = regex.compile(pattern).findall, words.__getitem__
-        for part in parts:
-            ids = [b"".join(map(of, find(t))) if t else b"" for t in part.column(text).to_pylist()]
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-            flat = np.frombuffer(b"".join(ids), dtype="<i4")
-            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield _with(part, "ids", column)
+        gc.disable()  # the tables are many objects without a cycle
+        try:
+            for part in parts:
+                ids = [b"".join(map(of, find(t))) if t else b"" for t in part.column(text).to_pylist()]
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                flat = np.frombuffer(b"".join(ids), dtype="<i4")
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                yield _with(part, "ids", column)
+        finally:
+            gc.enable()
 
     return docs.mapInArrow(run, extended(docs, "ids array<int>"))
 

@@ -314,6 +314,27 @@ def test_transducer_equals_merging(ranks):
         assert list(machine.tokens_of(word)) == machine.merged(word)
 
 
+def test_pairs_equal_merging(ranks):
+    """The short test for neighbours against the definition, for tokens that words of all kinds give."""
+    machine, r = bpe.Transducer(ranks), random.Random(3)
+    tokens = [t for t in ranks if len(t) < 12 and machine._is_whole(t)]
+    short = [t for t in tokens if len(t) < 4]
+    for _ in range(30_000):
+        a, b = r.choice(r.choice([tokens, short])), r.choice(r.choice([tokens, short]))
+        assert machine._is_pair(a, b) == (machine.merged(a + b) == [a, b])
+
+
+def test_transducer_with_few_states(ranks, monkeypatch):
+    """Emptying the table in the middle of a word changes nothing, and words come back from the older half."""
+    monkeypatch.setattr(bpe, "MAX_STATES", 5)
+    machine, r = bpe.Transducer(ranks), random.Random(4)
+    kept = bpe.Words(machine, 6)
+    words_ = ["".join(r.choice("aeinorst é'0") for _ in range(r.randint(1, 90))) for _ in range(60)]
+    for w in words_ + words_:
+        want = b"".join(ranks[t].to_bytes(4, "little") for t in machine.merged(w.encode()))
+        assert kept[w] == want or ranks[w.encode()].to_bytes(4, "little") == kept[w]
+
+
 def test_utf8_stream():
     raw = "aé日🙂퟿".encode() + b"\xff\xc3(\xe2\x82"
     for step in (1, 2, 3, 5):
