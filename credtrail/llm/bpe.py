@@ -25,6 +25,8 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +39,17 @@ from pyspark.sql import functions as F
 from credtrail.llm.common import extended
 
 MAX_STATES = 100_000
+#: Arcs that have been asked for once and are remembered by their number.
+MAX_ASKED = 400_000
 #: Words whose tokens are remembered by each task, and the longest such word in characters:
 #: together they bound the memory, some 100 bytes a word.
 MAX_WORDS = 400_000
 LONGEST_KEPT = 64
+#: Symbols of the table, a power of two.
+SYMBOLS = 128
+
+_BYTES = [bytes((b,)) for b in range(256)]
+_NO_ARCS = array("i", [-1]) * SYMBOLS
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,11 +59,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """``arcs[state << 8 | byte]`` is the next state and the ids (little-endian, 32 bits each) that
-    are settled by then; ``ends[state]`` are the ids left when a word ends there."""
+    """``table[state << 7 | symbol]`` is -1 (no arc yet) or twice the next state, and one more if ids
+    are settled by then: ``settled`` has them (little-endian, 32 bits each). ``ends[state]`` are the
+    ids left when a word ends there. The bytes most common in the vocabulary have a symbol each; the
+    others share one, which has no arcs."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.codes = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
         # 1 for what longer tokens begin with, 2 for tokens, 3 for both.
         self.kinds = dict.fromkeys((t[:n] for t in ranks for n in range(1, len(t))), 1)
         for t in ranks:
@@ -62,15 +74,21 @@ class Transducer:
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.whole: dict[bytes, bool] = {}
         self.halves: dict[bytes, list[bytes]] = {}
-        self.arcs: dict[int, tuple[int, bytes]] = {}
+        common = Counter(b"".join(ranks)).most_common(SYMBOLS - 1)
+        self.symbols = bytearray([SYMBOLS - 1]) * 256
+        for i, (byte, _) in enumerate(common):
+            self.symbols[byte] = i
+        self.table = array("i")
+        self.settled: dict[int, bytes] = {}
         self.numbers: dict[tuple, int] = {}
         self.asked: set[int] = set()
         self._reset()
 
     def _reset(self) -> None:
         # A live place: the bytes since it, and the tokens that lead to it.
-        for kept in (self.arcs, self.numbers, self.asked, self.pairs):
+        for kept in (self.settled, self.numbers, self.asked, self.pairs):
             kept.clear()
+        del self.table[:]
         self.states, self.ends = [], []
         self._added(((b"", ()),))
 
@@ -113,7 +131,7 @@ class Transducer:
         return known
 
     def _ids(self, tokens: tuple[bytes, ...]) -> bytes:
-        return b"".join([self.ranks[t].to_bytes(4, "little") for t in tokens])
+        return b"".join([self.codes[t] for t in tokens])
 
     def merged(self, word: bytes, least: int = 1) -> list[bytes]:
         """By the definition: again and again the leftmost pair of lowest rank, until there are
@@ -134,7 +152,7 @@ class Transducer:
 
     def _next(self, live: tuple, byte: int) -> tuple[tuple, bytes]:
         """The live places one byte further, and the ids that are settled by it."""
-        last, going, ends = bytes((byte,)), [], None
+        last, going, ends = _BYTES[byte], [], None
         kinds, pairs = self.kinds, self.pairs
         for since, path in live:
             word = since + last
@@ -153,91 +171,89 @@ class Transducer:
         if not going:
             return ((b"", ends[-1:]),), self._ids(ends[:-1])
         going.append((b"", ends))
-        paths = [p for _, p in going]
-        low, high = min(paths), max(paths)
-        shared, most = 0, min(map(len, paths)) - 1
-        while shared < most and low[shared] == high[shared]:
-            shared += 1
-        if shared > 0:
-            return tuple([(w, p[shared:]) for w, p in going]), self._ids(ends[:shared])
+        most = min([len(p) for _, p in going]) - 1
+        if most > 0:
+            paths = [p for _, p in going]
+            low, high, shared = min(paths), max(paths), 0
+            while shared < most and low[shared] == high[shared]:
+                shared += 1
+            if shared:
+                return tuple([(w, p[shared:]) for w, p in going]), self._ids(ends[:shared])
         return tuple(going), b""
 
     def _added(self, live: tuple) -> int:
         known = self.numbers[live] = len(self.states)
         self.states.append(live)
+        self.table.extend(_NO_ARCS)
         self.ends.append(self._ids(live[-1][1]))
         return known
 
-    def pieces(self, word: bytes) -> Iterator[bytes]:
-        """Ids in order, each as soon as it is settled.
+    def packed(self, word: str) -> bytes:
+        """Ids of a word of the split text, as little-endian 32-bit integers."""
+        raw = word.encode()
+        return self.codes.get(raw) or b"".join(self.pieces(raw))
+
+    def pieces(self, word: bytes) -> list[bytes]:
+        """Ids in order, noted as soon as they are settled.
 
         An arc is added when it is asked for a second time. Before that the live places go on by
         themselves, until they are those of a state: the ends of rare words leave nothing behind."""
-        arcs, numbers = self.arcs, self.numbers
+        table, number, found = self.table, self.numbers.get, []
         state, live = 0, None
-        for byte in word:
+        for byte, symbol in zip(word, word.translate(self.symbols)):
             if live is None:
-                key = state << 8 | byte
-                step = arcs.get(key)
-                if step is not None:
-                    state = step[0]
-                    if step[1]:
-                        yield step[1]
+                at = state << 7 | symbol
+                step = table[at]
+                if step >= 0:
+                    if step & 1:
+                        found.append(self.settled[at])
+                    state = step >> 1
                     continue
                 live, out = self._next(self.states[state], byte)
-                known = numbers.get(live)
-                if key in self.asked or known is not None:
-                    if known is None:
-                        if len(self.states) >= MAX_STATES:
-                            self._reset()
-                            known = self._added(live)
-                        else:
-                            known = self._added(live)
-                            arcs[key] = known, out
-                    else:
-                        arcs[key] = known, out
+                known = number(live)
+                if known is None and at in self.asked:
+                    if len(self.states) >= MAX_STATES:
+                        self._reset()
+                        at = -1
+                    known = self._added(live)
+                if known is not None:
+                    if at >= 0 and symbol != SYMBOLS - 1:
+                        table[at] = known << 1 | bool(out)
+                        if out:
+                            self.settled[at] = out
                     state, live = known, None
                 else:
-                    if len(self.asked) >= MAX_STATES:
+                    if len(self.asked) >= MAX_ASKED:
                         self.asked.clear()
-                    self.asked.add(key)
+                    self.asked.add(at)
             else:
                 live, out = self._next(live, byte)
-                known = numbers.get(live)
+                known = number(live)
                 if known is not None:
                     state, live = known, None
             if out:
-                yield out
-        yield self.ends[state] if live is None else self._ids(live[-1][1])
+                found.append(out)
+        found.append(self.ends[state] if live is None else self._ids(live[-1][1]))
+        return found
 
     def tokens_of(self, word: bytes) -> Iterator[bytes]:
         """The same as tokens."""
-        names = {v: k for k, v in self.ranks.items()}
+        names = {v: k for k, v in self.codes.items()}
         for piece in self.pieces(word):
-            yield from (names[i] for i in np.frombuffer(piece, "<u4").tolist())
-
-    def packed(self, word: str) -> bytes:
-        """Ids of a word of the split text, as little-endian 32-bit integers."""
-        raw = word.encode()
-        whole = self.ranks.get(raw)
-        return b"".join(self.pieces(raw)) if whole is None else whole.to_bytes(4, "little")
+            yield from (names[piece[i : i + 4]] for i in range(0, len(piece), 4))
 
 
 class Words(dict):
-    """Ids of the words met last, by word. A word that leaves the younger half goes on in the
-    older one; from there it comes back when it is met again."""
+    """Ids by word, of words that are not too long; emptied when there are ``limit`` of them."""
 
     def __init__(self, machine: Transducer, limit: int = MAX_WORDS):
         super().__init__()
-        self.machine, self.half, self.older = machine, limit // 2, {}
+        self.machine, self.limit = machine, limit
 
     def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            found = self.machine.packed(word)
+        found = self.machine.packed(word)
         if len(word) <= LONGEST_KEPT:
-            if len(self) >= self.half:
-                self.older = dict(self)
+            if len(self) >= self.limit:
                 self.clear()
             self[word] = found
         return found
@@ -299,9 +315,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     return docs.mapInArrow(run, extended(docs, "ids array<int>"))
 
 
-def decode(docs: DataFrame, ranks: dict[bytes, int], as_text: bool = False) -> DataFrame:
+def decode(docs: DataFrame, ranks: dict[bytes, int], as_text: bool = False, digests: bool = False) -> DataFrame:
     """Add ``decoded``: the bytes of ``ids``, or with ``as_text`` the text. Null
-    ids give none."""
+    ids give none. With ``digests`` also ``n_tokens`` and ``ids_sha256`` in place of ``ids``."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,9 +339,12 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], as_text: bool = False) -> D
             flat = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(ends), data])
             if as_text:
                 flat = pa.array(map(_text, flat.to_pylist()), pa.string())
-            yield _with(part, "decoded", flat.cast(pa.string() if as_text else pa.binary()))
+            part = _with(part, "decoded", flat.cast(pa.string() if as_text else pa.binary()))
+            yield _digested(part) if digests else part
 
     kind = "string" if as_text else "binary"
+    if digests:
+        return docs.mapInArrow(run, extended(docs.drop("ids"), f"decoded {kind}, {_DIGESTS}"))
     return docs.mapInArrow(run, extended(docs, f"decoded {kind}"))
 
 
@@ -333,21 +352,26 @@ def id_bytes(ids: np.ndarray) -> str:
     return hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest()
 
 
+_DIGESTS = "n_tokens bigint, ids_sha256 string"
+
+
+def _digested(part: pa.RecordBatch) -> pa.RecordBatch:
+    found = part.column("ids")
+    ends, flat = found.offsets.to_numpy(), found.values.to_numpy()
+    rows = [flat[a:b] for a, b in zip(ends, ends[1:])]
+    part = _with(part, "n_tokens", pa.array([len(r) for r in rows], pa.int64()))
+    part = _with(part, "ids_sha256", pa.array([id_bytes(r) for r in rows], pa.string()))
+    return part.select([n for n in part.schema.names if n != "ids"])
+
+
 def with_id_digest(encoded: DataFrame) -> DataFrame:
     """``n_tokens`` and ``ids_sha256`` in place of ``ids``: SHA-256 of the ids as
     little-endian unsigned 32-bit integers."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            found = part.column("ids")
-            ends, flat = found.offsets.to_numpy(), found.values.to_numpy()
-            rows = [flat[a:b] for a, b in zip(ends, ends[1:])]
-            part = _with(part, "n_tokens", pa.array([len(r) for r in rows], pa.int64()))
-            part = _with(part, "ids_sha256", pa.array([id_bytes(r) for r in rows], pa.string()))
-            yield part.select([n for n in part.schema.names if n != "ids"])
-
-    added = extended(encoded.drop("ids"), "n_tokens bigint, ids_sha256 string")
-    return encoded.mapInArrow(run, added)
+        yield from map(_digested, parts)
+
+    return encoded.mapInArrow(run, extended(encoded.drop("ids"), _DIGESTS))
 
 
 def _with(part: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:

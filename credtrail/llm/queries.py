@@ -98,9 +98,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    decoded = bpe.decode(encoded, ranks)
-    decoded = decoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return bpe.with_id_digest(decoded)
+    decoded = bpe.decode(encoded, ranks, digests=True)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op11_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -325,7 +325,7 @@ def test_pairs_equal_merging(ranks):
 
 
 def test_transducer_with_few_states(ranks, monkeypatch):
-    """Emptying the table in the middle of a word changes nothing, and words come back from the older half."""
+    """Emptying the table in the middle of a word changes nothing, nor does forgetting words."""
     monkeypatch.setattr(bpe, "MAX_STATES", 5)
     machine, r = bpe.Transducer(ranks), random.Random(4)
     kept = bpe.Words(machine, 6)
