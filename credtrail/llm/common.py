@@ -64,14 +64,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Cached(dict):
-    """Values of ``make`` by key; emptied when it holds ``limit`` keys."""
+    """Values of ``make`` by text; emptied when it holds ``limit`` keys. Long texts are
+    made anew each time, so the keys take a bounded number of bytes."""
+
+    LONGEST = 64
 
     def __init__(self, make, limit: int = 200_000):
         super().__init__()
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.LONGEST:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value

@@ -35,6 +35,8 @@ SAMPLE_DOCS = 1_500
 #: A context is kept from so many occurrences in a language on.
 MIN_SEEN = 12
 UNDETERMINED = "und"
+#: Bytes that are scored at once; the scratch arrays are some fifty times as large for four languages.
+SCORED_BYTES = 1 << 18
 #: Longer tables of symbols than this would not fit; rarer bytes share one.
 MAX_SYMBOLS = 127
 
@@ -56,7 +58,7 @@ class Model:
         first = 0
         while first < len(texts):
             last, size = first, 0
-            while last < len(texts) and (last == first or size + len(texts[last]) <= PASS_BYTES):
+            while last < len(texts) and (last == first or size + len(texts[last]) <= SCORED_BYTES):
                 size += len(texts[last]) + ORDER
                 last += 1
             out[first:last] = self._pass(texts[first:last])
@@ -71,9 +73,9 @@ class Model:
         ends = np.cumsum([len(t) + ORDER for t in texts])
         starts = ends - np.array([len(t) for t in texts])
         # A single very long text goes in slices, so scratch arrays stay small.
-        for at in range(0, len(raw), PASS_BYTES):
+        for at in range(0, len(raw), SCORED_BYTES):
             lo = max(0, at - ORDER)
-            s = self.symbol[raw[lo : at + PASS_BYTES]].astype(np.int32)
+            s = self.symbol[raw[lo : at + SCORED_BYTES]].astype(np.int32)
             context = s[: len(s) - ORDER].copy()
             for i in range(1, ORDER):
                 context = context * k + s[i : len(s) - ORDER + i]
@@ -197,13 +199,16 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     docs = docs.select(*names)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
-    flagged = docs.withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    letter = "_letter"
+    while letter.lower() in (c.lower() for c in docs.columns):
+        letter += "_"
+    flagged = docs.withColumn(letter, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for part in parts:
-            letters = part.column("_letter").to_pylist()
+            letters = part.column(letter).to_pylist()
             texts = [t.encode() if y else b"" for t, y in zip(part.column(text).to_pylist(), letters, strict=True)]
             lengths = model.code_lengths(texts)
             best = lengths.argmin(axis=1) if len(texts) else np.zeros(0, int)
