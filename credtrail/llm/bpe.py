@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credtrail.llm.common import extended
+from credtrail.llm.common import extended, slices
 
 MAX_STATES = 100_000
 #: Arcs that have been asked for once and are remembered by their number.
@@ -64,8 +64,8 @@ class Transducer:
     ids left when a word ends there. The bytes most common in the vocabulary have a symbol each; the
     others share one, which has no arcs."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], max_states: int | None = None):
+        self.ranks, self.max_states = ranks, max_states or MAX_STATES
         self.codes = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
         # 1 for what longer tokens begin with, 2 for tokens, 3 for both.
         self.kinds = dict.fromkeys((t[:n] for t in ranks for n in range(1, len(t))), 1)
@@ -212,7 +212,7 @@ class Transducer:
                 live, out = self._next(self.states[state], byte)
                 known = number(live)
                 if known is None and at in self.asked:
-                    if len(self.states) >= MAX_STATES:
+                    if len(self.states) >= self.max_states:
                         self._reset()
                         at = -1
                     known = self._added(live)
@@ -293,17 +293,25 @@ def _text(raw: bytes, piece: int = 4096) -> str:
     return "".join([*found, stream.end()])
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    text: str = "text",
+    max_words: int = MAX_WORDS,
+    max_states: int | None = None,
+) -> DataFrame:
     """Add ``ids`` (array of int) to the columns; a column of that name is replaced.
-    ``ranks`` has the size of a vocabulary file and goes to the workers once."""
+    ``ranks`` has the size of a vocabulary file and goes to the workers once. ``max_words`` and
+    ``max_states`` bound what a worker remembers: less memory, more time, same ids."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(Transducer(shared.value))
+        words = Words(Transducer(shared.value, max_states), max_words)
         find, of = regex.compile(pattern).findall, words.__getitem__
         gc.disable()  # the tables are many objects without a cycle
         try:
-            for part in parts:
+            for part in (x for p in parts for x in slices(p, text)):
                 ids = [b"".join(map(of, find(t))) if t else b"" for t in part.column(text).to_pylist()]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 flat = np.frombuffer(b"".join(ids), dtype="<i4")
@@ -327,7 +335,7 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], as_text: bool = False, dige
         for token, i in words.items():
             known[i] = token
         known = pa.array(known, pa.large_binary())
-        for part in parts:
+        for part in (x for p in parts for x in _token_slices(p)):
             column = part.column("ids")
             taken = known.take(column.flatten().cast(pa.int64()))
             if taken.null_count:
@@ -348,6 +356,14 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], as_text: bool = False, dige
     return docs.mapInArrow(run, extended(docs, f"decoded {kind}"))
 
 
+def _token_slices(batch: pa.RecordBatch, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about ``limit`` tokens."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
+    piece = np.cumsum(sizes.astype(np.int64) + 16) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def id_bytes(ids: np.ndarray) -> str:
     return hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest()
 
@@ -357,6 +373,7 @@ _DIGESTS = "n_tokens bigint, ids_sha256 string"
 
 def _digested(part: pa.RecordBatch) -> pa.RecordBatch:
     found = part.column("ids")
+    # A slice keeps the values of its whole batch; its offsets point into them.
     ends, flat = found.offsets.to_numpy(), found.values.to_numpy()
     rows = [flat[a:b] for a, b in zip(ends, ends[1:])]
     part = _with(part, "n_tokens", pa.array([len(r) for r in rows], pa.int64()))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credtrail.llm.common import PASS_BYTES, extended
+from credtrail.llm.common import PASS_BYTES, extended, slices
 
 ORDER = 3
 SAMPLE_DOCS = 1_500
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in parts:
+        for part in (x for p in parts for x in slices(p, text)):
             letters = part.column(letter).to_pylist()
             texts = [t.encode() if y else b"" for t, y in zip(part.column(text).to_pylist(), letters, strict=True)]
             lengths = model.code_lengths(texts)
