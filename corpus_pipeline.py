@@ -51,11 +51,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to its bytes."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    # The text stays behind; its digest is what the decoded bytes are held against.
+    own = F.sha2(F.coalesce("text", F.lit("")), 256).alias("own")
+    rows = docs.select("doc_id", "lang", "source", own, "text")
+    # Smaller tables than by default: this stage shares its executors with others.
+    encoded = bpe.encode(rows, ranks, public_tokenizers.PATTERN, max_words=100_000, max_states=30_000).drop("text")
     return bpe.decode(encoded, ranks).select(
-        "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same.alias("round_trip")
-    )
+        "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
+        (F.sha2("decoded", 256) == F.col("own")).alias("round_trip"),
+    )
 
 
 STAGES = [
