@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from credtrail.llm import (
     bpe, chat, divergence, langid, line_index, merkle, ngram_join, permutation, pii, repeats, reshard, tiling, warc,
 )
-from credtrail.llm.common import table, written
+from credtrail.llm.common import small_batches, table, written
 from credtrail.llm.oracle import LLM_ORACLE as LLM_ORACLE
 from credtrail.plans.storage import new_path
 
@@ -81,6 +81,7 @@ def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left when strings of 400 bytes that occur elsewhere are removed."""
+    small_batches(spark)
     rows = repeats.removed(table(spark, sf_dir, "documents"))
     return rows.withColumn("has_repeats", F.col("n_removed") > 0)
 
