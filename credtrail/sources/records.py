@@ -226,7 +226,8 @@ def write_csv(view: DataFrame, path: str, quoting: str = "standard") -> None:
     if "Part" in view.columns:
         view = stored(view, "csv-view")
         rows = view.orderBy(*order, "Part")
-        if not view.where("Parts > 1").limit(1).count():
+        several = "Parts > 1" if "Parts" in view.columns else "Part > 0"
+        if not view.where(several).limit(1).count():
             rows = rows.drop("Part", "Parts")
     else:
         rows = view.orderBy(*order)
