@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from credtrail.functions import windows
 from credtrail.functions.text import mask, quote_regex
 from credtrail.functions.values import is_usable_value
 from credtrail.operators.aggregate import detect_source
@@ -35,7 +38,7 @@ ANCHOR = 8
 ANCHORS_TRIED = 8
 
 # The sieve in front of the join has this many bits per anchor, in so many longs at most.
-SIEVE_BITS = 16
+SIEVE_BITS = 32
 SIEVE_LONGS = 1 << 17
 
 
@@ -72,14 +75,19 @@ def anchors(values: DataFrame) -> DataFrame:
     return rated.groupBy("value", "word", "size").agg(rarest.alias("anchor"))
 
 
+def _longs(table: DataFrame) -> int:
+    longs, bits = 16, SIEVE_BITS * table.count()
+    while longs < SIEVE_LONGS and longs * 64 < bits:
+        longs *= 2
+    return longs
+
+
 def _sieve(table: DataFrame) -> tuple[Column, int]:
     """A bit table of the anchors, as a subquery of one row, and its number of longs.
 
     A piece whose bit is not set is no anchor. The table has a fixed upper size; with more
     anchors than it is made for it lets more pieces pass."""
-    longs = 16
-    while longs < SIEVE_LONGS and longs * 64 < SIEVE_BITS * table.count():
-        longs *= 2
+    longs = _longs(table)
     place = _place(F.col("anchor"), longs)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))
     set_bits = table.groupBy(F.floor(place / 64).alias("id")).agg(F.bit_or(bit).alias("_bits"))
@@ -98,27 +106,46 @@ def _passes(piece: Column, bits: Column, longs: int) -> Column:
     return F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
 
 
+def _window_sieve(table: DataFrame) -> np.ndarray:
+    """As :func:`_sieve`, for windows of bytes."""
+    longs = _longs(table)
+
+    def placed(parts):
+        for part in parts:
+            yield windows.sieve_bits(part.column("anchor"), longs)
+
+    each = table.select("anchor").mapInArrow(placed, "id bigint, bits bigint")
+    bits = np.zeros(longs, np.uint64)
+    # One row per long at most.
+    for row in each.groupBy("id").agg(F.bit_or("bits").alias("bits")).collect():
+        bits[row["id"]] = row["bits"] & (1 << 64) - 1
+    return bits
+
+
 def _offers(texts: DataFrame, table: DataFrame, key: list[str], text: str) -> DataFrame | None:
-    """``(*key, _line, anchor)``: the pieces of the texts that may be anchors, in one pass.
+    """``(*key, _line, anchor)``: the windows of the texts that may be anchors, in one pass.
 
     Values have no line ends (they come from lines), so texts are cut into lines,
-    which keeps the pieces of one row few; if some value has one, the whole text
-    is taken at once. A piece tells by itself which kind of anchor it can be: its length, and
-    eight word characters occur in values of the word kind only.
+    which keeps the windows of one row few; if some value has one, the whole text
+    is taken at once. Windows are tried where they stand: a line is passed on with the few of
+    them that the sieve lets through, each once.
     """
-    kinds = {(r["word"], r["size"]) for r in table.select("word", "size").distinct().collect()}
-    if not kinds:
+    sizes = sorted(r[0] for r in table.select(F.octet_length("anchor")).distinct().collect())
+    if not sizes:
         return None
-    if (False, ANCHOR) in kinds:
-        kinds.discard((True, ANCHOR))  # all pieces of that length hold those too
     whole = table.where(F.col("value").contains("\n")).limit(1).count() > 0
     units = F.array(F.col(text)) if whole else F.split(F.col(text), "\n")
     lines = texts.select(*key, F.explode(units).alias("_line"))
     # No value can be in a line shorter than the shortest one.
-    lines = lines.where(F.length("_line") >= min(size for _, size in kinds))
-    offered = [pieces(F.col("_line"), size, word) for word, size in sorted(kinds)]
-    each = lines.select(*key, "_line", F.explode(F.concat(*offered)).alias("anchor"))
-    return each.where(_passes(F.col("anchor"), *_sieve(table)))
+    lines = lines.where(F.octet_length("_line") >= sizes[0])
+    sieve = _window_sieve(table)
+
+    def offered(parts):
+        for part in parts:
+            yield from windows.with_windows(part, "_line", sizes, sieve)
+
+    kept = lines.mapInArrow(offered, StructType([*lines.schema, StructField("_anchors", ArrayType(StringType()))]))
+    return kept.select(*key, "_line", F.explode("_anchors").alias("anchor"))
 
 
 def candidates(
@@ -128,7 +155,7 @@ def candidates(
     is exactly those. ``key`` must be unique.
 
     With anchors small enough to broadcast, texts stay where they are and each
-    line is checked at once. Otherwise keys and the pieces that pass the sieve are shuffled,
+    line is checked at once. Otherwise keys and the windows that pass the sieve are shuffled,
     without the text, and a pair only says that the anchor is there.
     """
     table = stored(anchors(values), "anchors")
@@ -140,9 +167,12 @@ def candidates(
     looked_up = table.select("anchor", "value")
     if small:
         met = offers.join(F.broadcast(looked_up), "anchor")
-        met = met.where(F.col("_line").contains(F.col("value")))
+        # A short value is its own anchor.
+        met = met.where((F.col("anchor") == F.col("value")) | F.col("_line").contains(F.col("value")))
     else:
-        met = offers.select(*key, "anchor").distinct().join(looked_up, "anchor")
+        # Windows are told by their first bytes; what is shuffled is tried as a whole before.
+        likely = offers.where(_passes(F.col("anchor"), *_sieve(table)))
+        met = likely.select(*key, "anchor").distinct().join(looked_up, "anchor")
     return met.select(*key, "value").distinct(), small
 
 
