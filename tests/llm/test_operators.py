@@ -10,12 +10,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from credtrail.llm import bpe, chat, langid, ngram_join, permutation, pii, repeats, reshard, tiling, warc
 from credtrail.llm.components import components
+from credtrail.llm.queries import LLM_QUERIES
 from credtrail.llm.shingles import shingle_set, word_hashes
 from credtrail.plans.storage import new_path
 
@@ -201,6 +203,46 @@ def test_chat(spark):
     assert chat.digests(chat.format_turns(turns.limit(0))).count() == 0
 
 
+def test_chat_examples_hold_their_contexts(spark, monkeypatch):
+    """An example is a row, or several, with all turns before it; what is read back comes from those."""
+    rows = [(c, t, "assistant" if t % 3 else "user", f"<{c}\\{'é' * (t % 5)}") for c in (1, None) for t in range(14)]
+    rows += [(2, t, "user", "x") for t in range(3)] + [(1, 5, "assistant", "again")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    formatted = chat.format_turns(turns)
+    pieces = {}
+    for r in sorted(formatted.collect(), key=lambda r: r.turn_no):
+        pieces.setdefault(r.conv_id, []).append(r)
+    whole = {r.conv_id: r for r in chat.digests(formatted).collect()}
+    monkeypatch.setattr(chat, "PART", 60)
+    table = pa.RecordBatch.from_pylist([r.asDict() for c in pieces for r in pieces[c]], chat._arrow(chat.FORMATTED))
+    made = [r for b in chat._expand(iter([table])) for r in b.to_pylist()]
+    for c, own in pieces.items():
+        for r in own:
+            if r.example_no is None:
+                continue
+            parts = [m for m in made if (m["conv_id"], m["example_no"]) == (c, r.example_no)]
+            text = "".join(m["text"] for m in sorted(parts, key=lambda m: m["start"]))
+            assert text == "".join(o.piece for o in own if o.turn_no <= r.turn_no)
+            assert text[parts[0]["loss_start"] : parts[0]["loss_end"]] == r.piece[len("<turn:assistant>") : -len("</turn>\n")]
+            assert len(parts) > 1 or len(text) < 200
+    examples = spark.createDataFrame([tuple(m.values()) for m in made], chat.EXPANDED)
+    assert {r.conv_id: r for r in chat.read_back(examples).collect()} == whole
+    assert (whole[1].n_turns, whole[1].n_examples, whole[2].n_turns, whole[2].n_examples) == (15, 10, 3, 0)
+    broken = examples.withColumn("text", F.when(F.expr("example_no = 7 and start = 0"), F.regexp_replace("text", "user", "usex")).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="do not continue"):
+        chat.read_back(broken).collect()
+
+
+def test_op5_reads_examples(spark, tmp_path):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(8)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    done = LLM_QUERIES["op5_prefix_targets"](spark, str(tmp_path))
+    (path,) = {p.rsplit("/", 1)[0] for p in done.inputFiles()}
+    stored = spark.read.parquet(path).where("conv_id = 1").orderBy("example_no").collect()
+    assert [r.text.count("<turn:") for r in stored] == [2, 4, 6, 8]
+    assert {r.conv_id: (r.n_turns, r.n_examples) for r in done.collect()} == {1: (8, 4), -7: (2, 1)}
+
+
 def test_nearest(spark):
     r = np.random.default_rng(1)
     vectors = [r.normal(size=8).tolist() for _ in range(300)] + [[1.0] * 8] * 100
