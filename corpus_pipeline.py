@@ -59,7 +59,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = F.sha2(F.coalesce("text", F.lit("")), 256).alias("own")
     rows = docs.select("doc_id", "lang", "source", own, "text")
     # Smaller tables than by default: this stage shares its executors with others.
-    encoded = bpe.encode(rows, ranks, public_tokenizers.PATTERN, max_words=100_000, max_states=30_000).drop("text")
+    encoded = bpe.encode(rows, ranks, public_tokenizers.PATTERN, max_words=50_000, max_states=15_000).drop("text")
     # Written in between: encoding and decoding then take turns in the same Python workers.
     return bpe.decode(written(encoded, "encoded"), ranks).select(
         "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
