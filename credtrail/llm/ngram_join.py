@@ -11,15 +11,18 @@ of signatures, so of the k + 1 they share, the one that tells most is kept by bo
 
 Which n0 and n1 are best is a matter of cost: signatures to write against accidental
 meetings, mostly of segments that are empty. :func:`allocated` weighs them for each band by
-its number of documents.
+its number of documents; :func:`spared` adds exact segments to leave out until the empty
+ones of the smallest sets are among them.
 
 Sets are classes: equal sets have one key (a 64-bit hash of the set), and only classes are
 compared. In a bucket (classes with a common signature) every class is first compared
 with the least one, which ties groups of near copies together without all their pairs.
 Only buckets that are still in several components then have their remaining
-pairs of different components compared. Pairs first pass a sketch: each token turns over one of
-``64 * SKETCH`` bits, and two sets differ in at least as many tokens as their sketches do in
-bits, so what is refused cannot be similar. The rest is compared exactly, on whole sets.
+pairs of different components compared, once for all buckets of the same members. Pairs first
+pass a sketch: each token turns over one of ``64 * SKETCH`` bits, and two sets differ in at
+least as many tokens as their sketches do in bits, so what is refused cannot be similar. Large
+sets fill such a sketch, so pairs then pass a finer one, of ``FINE`` bits a token or more.
+The rest is compared exactly, on whole sets; only texts of these pairs are shuffled.
 
 Defined cases: no words: empty set, no links, own component; null ids take part,
 but never name a component; repeated rows and copies share a class; an
@@ -52,6 +55,11 @@ MAP_BITS = 1 << 26
 #: Words of 64 bits in a sketch.
 SKETCH = 8
 SKETCHED = [f"s{i}" for i in range(SKETCH)]
+#: Bits of the finer sketch for each token, rounded up to a power of two.
+FINE = 2
+#: Standard deviations of the number of empty segments that are left out beyond its mean,
+#: and the least tokens a segment may have on average for that.
+SPARED, THINNEST = 4, 2.5
 #: Classes of which a task remembers that it has passed them on.
 SEEN = 100_000
 
@@ -92,7 +100,24 @@ def allocated(band: int, docs: int) -> tuple[int, int, int]:
         cost = docs * written_out + docs * docs / 2 * by_chance
         if best is None or cost < best[0]:
             best = cost, (n0, n1, k)
-    return best[1]
+    return spared(best[1], EDGES[band])
+
+
+def spared(plan: tuple[int, int, int], least: int) -> tuple[int, int, int]:
+    """The plan with more exact segments to leave out, so that the empty segments of sets of
+    ``least`` tokens are. An empty segment that stays meets those of unrelated sets, in pairs
+    that grow with the square of the documents. As many signatures are written as before."""
+    n0, n1, k = plan
+    if not n0:
+        return plan
+    kept = n0 - k
+    while least >= THINNEST * (kept + k + n1 + 1):
+        s = least / (kept + k + n1)
+        empty = (kept + k) * math.exp(-s)
+        if k >= empty + SPARED * math.sqrt(empty * (1 - (1 + s) * math.exp(-s))):
+            break
+        k += max(1, k // 16)
+    return kept + k, n1, k
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -236,21 +261,34 @@ def class_map(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens in each bit, little-endian."""
-    odd = np.bincount((tokens >> np.uint64(20) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+def sketch(tokens: np.ndarray, bits: int = 64 * SKETCH) -> bytes:
+    """Parity of the tokens in each bit, little-endian; ``bits`` is a power of two."""
+    odd = np.bincount((tokens >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def fine_sketch(tokens: np.ndarray) -> bytes:
+    """A sketch of a size that goes with the set."""
+    return sketch(tokens, max(64 * SKETCH, 1 << (FINE * len(tokens) - 1).bit_length()))
+
+
+def bits_apart(one: bytes, other: bytes) -> int:
+    """Bits in which sketches differ; the larger is folded to the size of the smaller."""
+    a, b = (np.frombuffer(x, np.uint64) for x in sorted((one, other), key=len))
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def classed(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """``doc_id, n_shingles, key``, and for classes in the map, from each task once,
-    ``text`` and sketch (``s0, s1, …``)."""
+    ``text`` and sketches (``s0, s1, …`` and ``fine``)."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, known, passed = shared.value, word_hashes(), set()
         for part in parts:
-            sizes, keys, texts, bits = [], [], [], []
+            sizes, keys, texts, bits, fine = [], [], [], [], []
             for text in part.column(1).to_pylist():
                 tokens = shingle_set(text, known)
                 key = set_key(tokens) if len(tokens) else None
@@ -262,13 +300,15 @@ def classed(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                 keys.append(key)
                 texts.append(text if take else None)
                 bits.append(sketch(tokens) if take else bytes(8 * SKETCH))
+                fine.append(fine_sketch(tokens) if take else None)
             words = np.frombuffer(b"".join(bits), np.int64).reshape(-1, SKETCH)
             columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(texts, pa.string())]
             columns += [pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "text", *SKETCHED])
+            columns.append(pa.array(fine, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "text", *SKETCHED, "fine"])
 
     kinds = "doc_id bigint, n_shingles bigint, key bigint, text string"
-    kinds += "".join(f", {s} bigint" for s in SKETCHED)
+    kinds += "".join(f", {s} bigint" for s in SKETCHED) + ", fine binary"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, kinds)
 
 
@@ -288,9 +328,38 @@ def _fits(one: str, other: str) -> Column:
     )
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar, with ``texts (key, text)`` one row for
-    each class. Rows of one ``a`` follow each other, so its set is made once."""
+def of_ends(pairs: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    """``key`` and ``columns`` of each class in ``pairs (a, b)`` once. What no pair needs is
+    left before the shuffle. ``pairs`` must be written."""
+    keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ends")
+    return classes.join(broadcast_if_small(keys), "key", "left_semi").select("key", *columns).dropDuplicates(["key"])
+
+
+def narrowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that the finer sketches allow to be similar."""
+    own = of_ends(pairs, classes, "n_shingles", "fine")
+    for side in ("a", "b"):
+        pairs = pairs.join(own.withColumnsRenamed({c: f"{c}_{side}" for c in ("n_shingles", "fine")} | {"key": side}), side)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            total = part.column("n").to_pylist()
+            sketches = (part.column(f"fine_{side}").to_pylist() for side in ("a", "b"))
+            keep = [
+                bits_apart(a, b) * (WHOLE + NEEDED) <= n * (WHOLE - NEEDED)
+                for a, b, n in zip(*sketches, total, strict=True)
+            ]
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sized = pairs.select("a", "b", (F.col("n_shingles_a") + F.col("n_shingles_b")).alias("n"), "fine_a", "fine_b")
+    return sized.mapInArrow(run, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are similar, with ``classes (key, text, …)`` one row or
+    more for each class. Rows of one ``a`` follow each other, so its set is made once."""
+    pairs = written(narrowed(pairs, classes), "narrowed")
+    texts = of_ends(pairs, classes, "text")
     left = pairs.join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
     both = left.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a")
 
@@ -324,6 +393,13 @@ def open_pairs(found: DataFrame, nodes: DataFrame, checked: DataFrame, sketches:
     open_sigs = found.join(broadcast_if_small(apart), ["center", "member"]).select("sig").distinct()
     open_sigs = written(open_sigs, "open")
     rows = found.join(broadcast_if_small(open_sigs), "sig", "left_semi")
+    # Similar sets meet in many buckets; of those with the same members one is enough.
+    alike = rows.groupBy("sig").agg(
+        F.min("center").alias("center"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("member")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "member")).alias("y"),
+    )
+    single = written(alike.groupBy("center", "n", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "single")
+    rows = found.join(broadcast_if_small(single), "sig", "left_semi")
     rows = rows.select("sig", F.explode(F.array("center", "member")).alias("member")).distinct()
     rows = rows.join(label, "member", "left").withColumn("root", F.coalesce("root", "member"))
     rows = written(rows, "rest")
@@ -355,14 +431,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     pairs = written(pairs, "pairs")
     rows = written(classed(docs, class_map(pairs)), "classes")
     first = rows.where("text is not null")
-    texts = first.select("key", "text").dropDuplicates(["key"])
     sketches = first.select("key", "n_shingles", *SKETCHED).distinct()
     near = written(possible(pairs, sketches), "near")
-    links = written(verified(near, texts), "links")
+    links = written(verified(near, first), "links")
     nodes = components(links)
     rest = written(open_pairs(found, nodes, pairs, sketches), "near")
     if not rest.isEmpty():
-        nodes = components(links.unionByName(verified(rest, texts)))
+        nodes = components(links.unionByName(verified(rest, first)))
     return _grouped(rows.select("doc_id", "n_shingles", "key"), nodes)
 
 

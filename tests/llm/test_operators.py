@@ -107,6 +107,47 @@ def test_every_similar_pair_shares_a_signature():
         assert any(shared)
 
 
+def test_empty_segments_are_left_out():
+    r = np.random.default_rng(5)
+    for band in (20, 26, 30, 32):
+        size, (n0, n1, k) = ngram_join.EDGES[band], ngram_join.allocated(band, 100_000)
+        assert n0 - k + 2 * n1 > ngram_join.differences(band)
+        for _ in range(200):
+            tokens = r.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+            taken = np.unique((tokens >> np.uint64(32)) * np.uint64(n0 + n1) >> np.uint64(32))
+            assert n0 - np.count_nonzero(taken < n0) <= k
+
+
+def test_finer_sketches_bound_the_difference():
+    r = np.random.default_rng(6)
+    for n, m in ((0, 900), (1, 1), (300, 300), (3000, 2500), (100, 4000)):
+        both, a, b = (r.integers(0, 1 << 63, x, dtype=np.uint64) for x in (n, m, max(1, m // 2)))
+        a, b = np.unique(np.append(both, a)), np.unique(np.append(both, b))
+        one, other = ngram_join.fine_sketch(a), ngram_join.fine_sketch(b)
+        assert ngram_join.bits_apart(one, other) <= len(np.setxor1d(a, b))
+        assert ngram_join.bits_apart(one, other) == ngram_join.bits_apart(other, one)
+        assert ngram_join.bits_apart(one, one) == 0
+    assert ngram_join.bits_apart(one, other) > 1500
+
+
+def test_texts_of_unrelated_documents_are_not_compared(spark, monkeypatch):
+    passage, tried = words(70, 900), []
+    rows = [(i, f"{passage} {words(1000 + i, 2500)}") for i in range(24)]
+    rows += [(100, rows[3][1] + " more"), (101, rows[4][1].upper()), (102, "  " + rows[3][1])]
+    plain = ngram_join.of_ends
+
+    def noted(pairs, classes, *columns):
+        tried.extend((columns, tuple(r)) for r in pairs.collect())
+        return plain(pairs, classes, *columns)
+
+    monkeypatch.setattr(ngram_join, "of_ends", noted)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {**{i: i for i in range(24)}, 100: 3, 101: 4, 102: 3}
+    # Pairs met by the passage, and refused before their texts were joined.
+    assert len({p for c, p in tried if "fine" in c}) > 1
+    assert len({p for c, p in tried if "text" in c}) == 1
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 3), (60, 50), (50, 60), (None, 2)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
